@@ -68,5 +68,5 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
             h = U(b - a)
             for x in w.hash[a:b]:
                 h = mix(np.array([h], dtype=np.uint64))[0] ^ x
-            out.append(np.array([h][: b > a], dtype=np.uint64))
+            out.append(np.array([h][: int(b > a)], dtype=np.uint64))
     return out
