@@ -1,11 +1,11 @@
 """The queries of this package and their SQL."""
 
-from ontoloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, secret_scan, url_filter, warc
+from ontoloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, secret_scan, suffix_dedup, url_filter, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
-        secret_scan.op1_secret_scan, license_scan.op3_license_scan, decontaminate.op4_benchmark_decontamination, warc.op6_warc,
+        secret_scan.op1_secret_scan, suffix_dedup.op2_suffix_dedup, license_scan.op3_license_scan, decontaminate.op4_benchmark_decontamination, warc.op6_warc,
         near_dedup.op5_near_dedup, quality.op7_quality_classifier, packing.op8_best_fit_packing, exact_dedup.op9_exact_dedup, url_filter.op10_url_filter,
     )
 }
