@@ -204,8 +204,8 @@ def sort_bucket(t: pa.Table) -> pa.Table:
         spans.append(np.array([start[k], start[k] + n[k] - 1], dtype=np.int64).tobytes())
     if own:
         hit = np.flatnonzero(same)
-        new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(who[hit]) != 0)]) if len(hit) else np.zeros(0, bool)
-        for a, z in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(hit)), strict=True):
+        first = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(who[hit], prepend=-1) != 0))
+        for a, z in zip(first, np.append(first, len(hit))[1:], strict=True):
             k = own[who[hit[a]]]
             keys.append(table_keys[k])
             spans.append(np.array([start[k] + within[hit[a]], start[k] + within[hit[z - 1]]], dtype=np.int64).tobytes())
