@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ontoloom.llm.common import forget, partitions, row_key, table, written
-from ontoloom.llm.textbatch import U, mix, shingle_sets, texts_of
+from ontoloom.llm.textbatch import U, mix, shingle_sets, slices, texts_of
 
 SHINGLE, PER_CENT, TREES, DEPTH, WINDOW, SKETCH_MIN = 5, 75, 32, 4, 16, 92
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -39,8 +39,7 @@ def sign(docs, size=SHINGLE):
         import xxhash
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                b = whole.slice(k, 200)
+            for b in slices(whole, 2):
                 sets = shingle_sets(texts_of(b.column(2)), size)
                 sigs = [signature(s) if len(s) else None for s in sets]
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -94,8 +93,7 @@ def confirm(pairs, texts, size=SHINGLE):
 
     def run(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                b = whole.slice(k, 200)
+            for b in slices(whole, 2):
                 left, right = (shingle_sets(texts_of(b.column(c)), size) for c in (2, 3))
                 keep = []
                 for x, y in zip(left, right, strict=True):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -33,6 +34,19 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
 
 
+def slices(batch, column: int, rows: int = 200, size: int = 1 << 20):
+    """batch in parts of at most `rows` rows and about `size` bytes of the column (one row at least), so that hashing a part takes little memory."""
+    lengths = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
+    start = total = 0
+    for k, n in enumerate(lengths):
+        if k > start and (k - start >= rows or total + n > size):
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if len(lengths) > start:
+        yield batch.slice(start)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end]."""
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
