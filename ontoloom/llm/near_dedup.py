@@ -106,7 +106,8 @@ def confirm(pairs, texts, size=SHINGLE):
 
 def components(edges):
     """(node, comp) of each node with an edge: comp is the smallest node reachable. Labels spread with pointer jumping; each round is a table."""
-    edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    edges = written(edges, "edges")
+    edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         heard = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
