@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ontoloom.llm.common import table
-from ontoloom.llm.textbatch import U, Words, texts_of
+from ontoloom.llm.textbatch import U, Words, slices, texts_of
 
 TRAIN_ROWS, BUCKETS, ACCEPT, TOXIC = 6000, 1 << 14, 0.5, 0.5
 #: Site tables of no more rows than this are broadcast; larger ones are joined by a shuffle.
@@ -98,8 +98,7 @@ def classify(docs, labels, train_rows=TRAIN_ROWS):
 
     def scored(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                p = b.slice(k, 500)
+            for p in slices(b, at, 500):
                 dense, words = features(texts_of(p.column(at)))
                 yield pa.RecordBatch.from_arrays([*p.columns, *(pa.array(score(dense, words, m)) for m in held.value)], [*p.schema.names, "_zq", "_zt"])
 
