@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ontoloom.llm.common import partitions, row_key, table, written
-from ontoloom.llm.textbatch import BASE, BYTE, INVERSE, U, mix, powers, texts_of
+from ontoloom.llm.textbatch import BASE, BYTE, INVERSE, U, mix, powers, slices, texts_of
 
 LENGTH, ORDER, GRAM = 400, 17, 32
 #: Bytes of text for which one bucket, and one part of the documents, is made.
@@ -81,8 +81,7 @@ def samples(docs, buckets: int):
 
     def run(batches):
         for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
+            for b in slices(whole, 1, 2000, 4 << 20):
                 keys, fps, pos = [], [], []
                 for key, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                     if len(t) >= LENGTH:
@@ -164,8 +163,7 @@ def contexts(marked, buckets: int):
 
     def run(batches):
         for whole in batches:
-            for s in range(0, whole.num_rows, 300):
-                b = whole.slice(s, 300)
+            for b in slices(whole, 1, 2000, 4 << 20):
                 rows, first = [], {}
                 for key, text, runs in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                     for h, start, n in np.frombuffer(runs, dtype=np.int64).reshape(-1, 3).tolist():
@@ -238,7 +236,9 @@ def repeated_spans(df, id_col="doc_id", text_col="text"):
     marked = written(dealt.groupBy("part").cogroup(ties.groupBy("part")).applyInArrow(mark, f"_key long, _id {kind}, _text string, runs binary"), "marked")
     spans = contexts(marked.where("runs is not null"), parts).groupBy("bucket").applyInArrow(sort_bucket, "_key long, spans binary")
     spans = spans.groupBy(F.col("_key").alias("_k")).agg(F.collect_list("spans").alias("spans"))  # of one text
-    return marked.drop("runs").join(spans, F.col("_key") == F.col("_k"), "left").select("_id", "_text", "spans")
+    # Only texts with stretches can have spans; the others need no exchange.
+    some = marked.where("runs is not null").join(spans, F.col("_key") == F.col("_k"), "left").select("_id", "_text", "spans")
+    return some.unionByName(marked.where("runs is null").select("_id", "_text", F.lit(None).cast("array<binary>").alias("spans")))
 
 
 def op2_suffix_dedup(spark, sf_dir):
