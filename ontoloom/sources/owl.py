@@ -87,3 +87,71 @@ def individuals(tree: DataFrame) -> DataFrame:
     xml = children(tree, "ClassAssertion", 2).select(_ref("c1").alias("name"), _ref("c0").alias("type"))
     rdf = tree.where(~F.col("ns").rlike("(owl|rdf-syntax-ns)#$") & (F.col("attrs")["ID"].isNotNull() | F.col("attrs")["about"].isNotNull())).select(local_name(F.coalesce(F.col("attrs")["ID"], F.col("attrs")["about"])).alias("name"), F.col("local").alias("type"))
     return xml.unionByName(rdf).distinct()
+
+
+def _operands(tree: DataFrame, parents: DataFrame) -> DataFrame:
+    """(path, _p, names): sorted names of each parent's children. parents: path, _p."""
+    kids = tree.select("path", F.col("parent_id").alias("_p"), F.struct("*").alias("c"))
+    return parents.join(kids, ["path", "_p"]).groupBy("path", "_p").agg(F.array_sort(F.collect_set(_ref("c"))).alias("names"))
+
+
+def equivalent_axioms(tree: DataFrame) -> DataFrame:
+    """(class_name, expression_type, operands) of the binary form: a named class, and another or a union of classes."""
+    x = children(tree, "EquivalentClasses", 2).where("c0.local = 'Class'")
+    named = x.where("c1.local = 'Class'").select(_ref("c0").alias("class_name"), F.lit("named").alias("expression_type"), F.array(_ref("c1")).alias("operands"))
+    unions = x.where("c1.local = 'ObjectUnionOf'").select("path", F.col("c1.node_id").alias("_p"), _ref("c0").alias("class_name"))
+    ops = _operands(tree, unions.select("path", "_p"))
+    return named.unionByName(unions.join(ops, ["path", "_p"]).select("class_name", F.lit("ObjectUnionOf").alias("expression_type"), F.col("names").alias("operands")))
+
+
+def disjoint_axioms(tree: DataFrame) -> DataFrame:
+    """(class_names): sorted distinct names, two at least."""
+    return _operands(tree, tree.where("local = 'DisjointClasses'").select("path", F.col("node_id").alias("_p"))).where("size(names) >= 2").select(F.col("names").alias("class_names"))
+
+
+def inverse_properties(tree: DataFrame) -> DataFrame:
+    """(property, inverse_of), in both directions."""
+    x = children(tree, "InverseObjectProperties", 2).select(_ref("c0").alias("property"), _ref("c1").alias("inverse_of"))
+    y = children(tree, "ObjectProperty", 1).where("c0.local = 'inverseOf'").select(_ref("p").alias("property"), _ref("c0").alias("inverse_of"))
+    both = x.unionByName(y)
+    return both.unionByName(both.select(F.col("inverse_of").alias("property"), F.col("property").alias("inverse_of"))).distinct()
+
+
+def functional_properties(tree: DataFrame) -> DataFrame:
+    xml = children(tree, "FunctionalObjectProperty", 1).unionByName(children(tree, "FunctionalDataProperty", 1)).select(_ref("c0").alias("property"))
+    rdf = tree.where("local = 'FunctionalProperty'").select(local_name(F.coalesce(F.col("attrs")["about"], F.col("attrs")["ID"])).alias("property"))
+    return xml.unionByName(rdf).distinct()
+
+
+def annotation_assertions(tree: DataFrame) -> DataFrame:
+    """(subject, property, value, lang, datatype, value_type)."""
+    x = children(tree, "AnnotationAssertion", 3)
+    literal = F.col("c2.local") == "Literal"
+    subject = local_name(F.coalesce(F.col("c1.text"), F.col("c1.attrs")["IRI"]))
+    return x.select(subject.alias("subject"), _ref("c0").alias("property"), F.coalesce("c2.text", _ref("c2")).alias("value"), F.col("c2.attrs")["lang"].alias("lang"), F.col("c2.attrs")["datatypeIRI"].alias("datatype"), F.when(literal, "literal").otherwise("iri").alias("value_type"))
+
+
+def imports(tree: DataFrame) -> DataFrame:
+    """(path, iri), once each."""
+    found = tree.where("local in ('imports', 'Import')").select("path", F.coalesce(F.col("attrs")["resource"], F.col("text")).alias("iri"))
+    return found.where("iri is not null").distinct()
+
+
+def assertions(tree: DataFrame) -> DataFrame:
+    """(name, property, position, value, target): literals, and resources that are named or nested, of RDF/XML subjects at any depth.
+
+    A subject's properties stand one level below it, and what they nest two levels below, so two joins serve all depths.
+    """
+    about = F.coalesce(F.col("attrs")["ID"], F.col("attrs")["about"])
+    subjects = tree.where(about.isNotNull() & ~F.col("ns").rlike("(owl|rdf-syntax-ns)#$")).select("path", F.col("node_id").alias("_s"), local_name(about).alias("name"))
+    props = tree.select("path", F.col("parent_id").alias("_s"), F.col("node_id").alias("_p"), F.col("local").alias("property"), "ordinal", "text", F.col("attrs")["resource"].alias("resource"))
+    nested = subjects.select("path", F.col("_s").alias("_n"), F.col("name").alias("nested")).join(tree.select("path", F.col("node_id").alias("_n"), F.col("parent_id").alias("_p")), ["path", "_n"])
+    joined = subjects.join(props, ["path", "_s"]).join(nested.drop("_n"), ["path", "_p"], "left")
+    target = F.coalesce(local_name(F.col("resource")), F.col("nested"))
+    return joined.select("name", "property", F.col("ordinal").alias("position"), F.when(target.isNull(), F.col("text")).alias("value"), target.alias("target"))
+
+
+def placeholders(facts: DataFrame, named: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(name, type): targets that no individual stands for, typed by the ranges of the properties that point to them."""
+    lost = facts.where("target is not null").select(F.col("target").alias("name"), "property").distinct().join(named.select("name"), "name", "left_anti")
+    return lost.join(ranges.select("property", F.col("value").alias("type")), "property", "left").select("name", "type").distinct()
