@@ -10,6 +10,7 @@ empty result. Tokenising goes by white-space-separated chunks, which the tokeniz
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -22,8 +23,12 @@ from pyspark.sql import functions as F
 from ontoloom.llm.common import table, written
 
 CAPACITY = 2048
-CACHE = 300_000
+CACHE = 800_000
 SPACES = str.maketrans("\t\r\n", "   ")
+#: A full stop or comma between a letter and white space is a token of its own.
+STOP = re.compile(r"(?<=[a-z])([.,])(?= |$)")
+#: One cache for each worker process and vocabulary; it lives on from task to task.
+_CHUNKS: dict[str, Chunks] = {}
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -66,7 +71,9 @@ class Chunks:
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
 
     def encode(self, text: str) -> np.ndarray:
-        words = [w for w in text.translate(SPACES).split(" ") if w]
+        if "\u0130" not in text and "\u03a3" not in text:  # whose lower case depends on more than themselves
+            text = text.lower()
+        words = [w for w in STOP.sub(r" \1", text.translate(SPACES)).split(" ") if w]
         new = list({w for w in words if w not in self.ids})
         if len(self.ids) + len(new) > CACHE:
             self.ids, new = {}, list(set(words))
@@ -83,7 +90,9 @@ def pieces(df, id_col, text_col, tokenizer, capacity):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunks, task, seen = Chunks(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        if tokenizer not in _CHUNKS:
+            _CHUNKS[tokenizer] = Chunks(tokenizer)
+        chunks, task, seen = _CHUNKS[tokenizer], TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             rows, at = [], []
             for k, text in enumerate(b.column(1).to_pylist()):
