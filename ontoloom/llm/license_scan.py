@@ -79,3 +79,25 @@ def scan_licenses(df, id_col="doc_id", text_col="text", templates=TEMPLATES, thr
 
 def op3_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PLACES = {p: f"list_filter(range(len(ws)), lambda i: ws[i + 1 : i + {len(p.split())}] = {p.split()})" for p in PHRASES}
+_EVERY = "list_concat(" + ", ".join(f"p{k}" for k in range(len(PHRASES))) + ")"
+_SETS = ", ".join(f"('{k}', {sorted(set(t.split()))})" for k, t in TEMPLATES.items())
+ORACLE = f"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+worded AS (SELECT r, doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM low),
+placed AS (SELECT r, doc_id, ws, {', '.join(f'{x} AS p{k}' for k, x in enumerate(_PLACES.values()))} FROM worded),
+templates(label, tokens) AS (VALUES {_SETS}),
+blocks AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}')) AS b FROM low),
+found AS (SELECT r, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS s FROM blocks, templates
+          WHERE len(list_intersect(b, tokens)) / len(tokens) >= {THRESHOLD} GROUP BY ALL),
+per AS (SELECT r, list(label) AS labels, max(s) AS s FROM found GROUP BY r),
+based AS (SELECT *, list_filter([{', '.join(f"CASE WHEN len(p{k}) > 0 THEN '{v}' END" for k, v in enumerate(PHRASES.values()))}], lambda x: x IS NOT NULL) AS bl, {_EVERY} AS every FROM placed)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) AS BIGINT) AS first_word, CAST(list_max(every) AS BIGINT) AS last_word,
+       array_to_string(list_sort(bl), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN len(every) > 0 THEN 1.0::DOUBLE ELSE coalesce(s, 0.0)::DOUBLE END AS score
+FROM based LEFT JOIN per USING (r)
+"""

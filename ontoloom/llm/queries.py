@@ -9,4 +9,4 @@ QUERIES = {
         near_dedup.op5_near_dedup, quality.op7_quality_classifier, packing.op8_best_fit_packing, exact_dedup.op9_exact_dedup, url_filter.op10_url_filter,
     )
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op3_license_scan": license_scan.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}
