@@ -5,28 +5,31 @@ histogram: for each bin, a subset-sum bitset over the lengths still available fi
 which is removed as often as the counts allow. Pieces then take the places of their length in order of their ordinal,
 which comes from counts by (task, length) summed in a window; no group of pieces is gathered.
 Null text counts as empty (one closing token); repeated rows are packed as separate documents; an empty table gives an
-empty result. Tokenising goes by white-space-separated chunks, which the tokenizer never merges, with a bounded cache.
+empty result. Tokenising goes by the distinct white-space-separated chunks of a batch, which the tokenizer never merges, with a
+bounded cache.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm.common import table, written
+from ontoloom.llm.textbatch import slices
 
 CAPACITY = 2048
 CACHE = 800_000
-SPACES = str.maketrans("\t\r\n", "   ")
-#: A full stop or comma between a letter and white space is a token of its own.
-STOP = re.compile(r"(?<=[a-z])([.,])(?= |$)")
+#: A full stop or comma after a letter at the end of a chunk is a token of its own.
+STOP = re.compile(r"[a-z][.,]\Z")
 #: One cache for each worker process and vocabulary; it lives on from task to task.
 _CHUNKS: dict[str, Chunks] = {}
 
@@ -63,24 +66,47 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tu
 
 
 class Chunks:
-    """Token ids of white-space-separated chunks. The cache is dropped when it holds CACHE chunks."""
+    """Token ids of texts, by their distinct white-space-separated chunks. The cache is dropped when it holds CACHE chunks."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
 
-    def encode(self, text: str) -> np.ndarray:
-        if "\u0130" not in text and "\u03a3" not in text:  # whose lower case depends on more than themselves
-            text = text.lower()
-        words = [w for w in STOP.sub(r" \1", text.translate(SPACES)).split(" ") if w]
-        new = list({w for w in words if w not in self.ids})
+    def learn(self, words: list[str]) -> None:
+        """Sees to it that the cache holds all words; words are distinct."""
+        new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > CACHE:
-            self.ids, new = {}, list(set(words))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.ids.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, words)) + b"\0\0\0\0", dtype="<u4")
+            self.ids, new = {}, words
+        tokenize, whole = self.tokenizer.model.tokenize, [w for w in new if w.isascii() and w.isalpha()]
+        self.ids.update((w, array("I", [t.id for t in tokenize(w)]).tobytes()) for w in whole)  # nothing splits or changes these before the model
+        rest = [w for w in new if not (w.isascii() and w.isalpha())]
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            self.ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, at): the ids of text k and the closing 0 are ids[at[k]:at[k + 1]]."""
+        folded = [t if "\u0130" in t or "\u03a3" in t else t.lower() for t in texts]  # whose lower case depends on more than themselves
+        spaced = pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in folded], pa.large_string())
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        stems = [w[:-1] if STOP.search(w) else w for w in words]
+        self.learn(list(dict.fromkeys([*stems, ".", ","])))
+        known = self.ids
+        of = [known[w] if w is s else known[s] + known[w[-1]] for w, s in zip(words, stems, strict=True)]
+        size = np.array([len(x) // 4 for x in of], dtype=np.int64)
+        ids, first = np.frombuffer(b"".join(of), dtype="<u4"), np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        size = size[code]
+        done = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(first[code] - done[:-1], size) + np.arange(done[-1])]
+        ends = done[split.offsets.to_numpy()[1:]]
+        return np.insert(flat, ends, 0), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 def pieces(df, id_col, text_col, tokenizer, capacity):
@@ -93,10 +119,10 @@ def pieces(df, id_col, text_col, tokenizer, capacity):
         if tokenizer not in _CHUNKS:
             _CHUNKS[tokenizer] = Chunks(tokenizer)
         chunks, task, seen = _CHUNKS[tokenizer], TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1, 4096, 4 << 20)):
             rows, at = [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                ids = chunks.encode(text or "")
+            every, ends = chunks.encode_all([t or "" for t in b.column(1).to_pylist()])
+            for k, ids in enumerate(np.split(every, ends[1:-1])):
                 for p, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((p, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
