@@ -44,6 +44,15 @@ def features(texts: list[bytes]):
     return dense, words
 
 
+def described(batches):
+    """The features of each text in place of the text; they are bounded, however long it is."""
+    for b in batches:
+        for p in slices(b, 0, 500):
+            dense, words = features(texts_of(p.column(0)))
+            packed = [pa.array([x.tobytes() for x in dense], pa.binary()), pa.array([x.astype(np.uint16).tobytes() for x in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*packed, *p.columns[1:]], ["_dense", "_words", *p.schema.names[1:]])
+
+
 def fit(dense, words, y, epochs=12, rate=0.3, decay=1e-5):
     """Weights of a logistic model by AdaGrad, in a fixed order: DENSE, then BUCKETS."""
     wd, ww = np.zeros(DENSE), np.zeros(BUCKETS)
@@ -87,11 +96,13 @@ def classify(docs, labels, train_rows=TRAIN_ROWS):
     """docs (doc_id, text, lang, source and more) with p_quality, p_toxic and accepted. The text is not shuffled, but for the labelled rows that train."""
     known = labels.groupBy(F.col("doc_id").alias("_ld")).agg(F.avg("quality").alias("_q"), F.avg("toxic").alias("_t")).where("_ld is not null and _q is not null")
     keys = docs.select("doc_id", "source", "lang").join(known, F.col("doc_id") == F.col("_ld"))
-    sample = known.orderBy(F.xxhash64("_ld"), "_ld").limit(train_rows)
-    rows = docs.join(sample, docs["doc_id"] == sample["_ld"]).select("text", "_q", "_t", F.xxhash64("_ld", "text").alias("_o")).sort("_o").limit(train_rows).toPandas()
+    sample = F.broadcast(known.orderBy(F.xxhash64("_ld"), "_ld").limit(train_rows))
+    rows = docs.join(sample, docs["doc_id"] == sample["_ld"]).select("text", "_q", "_t", F.xxhash64("_ld", "text").alias("_o"))
+    rows = rows.mapInArrow(described, "_dense binary, _words binary, _q double, _t double, _o long").sort("_o").limit(train_rows).toPandas()
     if not len(rows):
         return docs.withColumns({"p_quality": F.lit(1.0), "p_toxic": F.lit(0.0), "accepted": F.lit(True)})
-    dense, words = features([(t or "").encode() for t in rows["text"]])
+    dense = np.stack([np.frombuffer(x) for x in rows["_dense"]])
+    words = [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in rows["_words"]]
     models = [fit(dense, words, rows[c].fillna(0).to_numpy()) for c in ("_q", "_t")]
     held = docs.sparkSession.sparkContext.broadcast([(d, w.astype(np.float32)) for d, w in models])
     at = docs.columns.index("text")
