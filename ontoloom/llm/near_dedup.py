@@ -1,11 +1,14 @@
 """MinHash near-dedup by an LSH forest.
 
 Rows with equal shingle sets collapse into one node first. Each of TREES orders sorts the nodes by a label of DEPTH
-minhashes, and a node meets the nodes before it in the order: those that share the first minhash, or, where a region is
+minhashes, and a node meets its nearest neighbours before it: those that share the first minhash, or, where a region is
 so crowded that WINDOW predecessors all share d minhashes, only those that share more than d; where whole labels are
-shared, the nearest two and the first node of the label. A sketch of 128 minhash bits and the set sizes discard pairs
-that can't reach the threshold (5 standard deviations off), and the rest are confirmed on full sets. Orders are dealt by
-range, so no group meets in one task; pairs that fall on two sides of a boundary are met in the other orders.
+shared, the nearest one and the first node of the label. Confirmed pairs give provisional components. What neighbours
+leave open is then settled without a limit: wherever nodes of different components share a whole label, every two of
+them of different components are compared, in cells of about 2 * CELL nodes, so that no label meets in one task; nodes
+of one component need no further link. So a pair of similarity 0.75 is missed only where it shares no whole label in any
+order (5 in a million). A sketch of 128 minhash bits and the set sizes discard pairs that can't reach the threshold (5
+standard deviations off), and the rest are confirmed on full sets.
 
 Cases: null text or text without words has an empty set and is linked with nothing; fewer words than a shingle count as
 one shingle; null ids rank last for component_id, and a component of null ids alone has a null one; repeated rows share a
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from ontoloom.llm.common import forget, partitions, row_key, table, written
 from ontoloom.llm.textbatch import U, mix, shingle_sets, slices, texts_of
 
-SHINGLE, PER_CENT, TREES, DEPTH, WINDOW, SKETCH_MIN = 5, 75, 32, 4, 16, 92
+SHINGLE, PER_CENT, TREES, DEPTH, WINDOW, CELL, SKETCH_MIN = 5, 75, 32, 4, 8, 64, 92
 _rng = np.random.Generator(np.random.PCG64(5))
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
 
@@ -51,13 +54,18 @@ def sign(docs, size=SHINGLE):
     return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, _key long, n_shingles long, node binary, labels binary, sketch binary")
 
 
-def candidates(nodes):
-    """Pairs a < b of neighbours in the sorted orders. nodes: node, n, labels, sketch."""
+def spots(nodes, *columns):
+    """The places of each node in the orders: tree, label, node, n, sketch and other columns."""
     width = DEPTH * 4
-    spots = nodes.select("node", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels").select(
-        "tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"), "node", "n", "sketch"
+    return nodes.select("node", "n", "sketch", *columns, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels").select(
+        "tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"), "node", "n", "sketch", *columns
     )
-    ordered = spots.repartitionByRange(partitions(nodes.sparkSession), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+
+
+def neighbours(nodes):
+    """Pairs a < b of neighbours in the sorted orders. nodes: node, n, labels, sketch."""
+    width = DEPTH * 4
+    ordered = spots(nodes).repartitionByRange(partitions(nodes.sparkSession), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
 
     def shared(a, b):
         k = 0
@@ -76,7 +84,7 @@ def candidates(nodes):
                 if first is None or first[0] != label:
                     first = row
                 far = shared(label, last[0][0]) if len(last) == WINDOW else 0
-                near = [x for x in last if shared(label, x[0]) > far] if far < DEPTH else [*last[-2:], first]
+                near = [x for x in last if shared(label, x[0]) > far] if far < DEPTH else [last[-1], first]
                 for x in near:
                     if x[1] != node and 100 * min(n, x[2]) >= PER_CENT * max(n, x[2]) and 128 - (row[3] ^ x[3]).bit_count() >= SKETCH_MIN:
                         out.append((min(node, x[1]), max(node, x[1])))
@@ -87,6 +95,37 @@ def candidates(nodes):
     return ordered.mapInArrow(meet, "a binary, b binary").distinct()
 
 
+def bucket_pairs(nodes):
+    """Pairs a < b that share a whole label and lie in different components. nodes: node, n, labels, sketch, comp."""
+    places = spots(nodes, "comp").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(4)))
+    mixed = places.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    mixed = mixed.select("tree", "label", F.ceil(F.col("m") / CELL).alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("salt"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    dealt = places.join(mixed, ["tree", "label", "salt"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.groupBy("tree", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "n", "sketch", "comp", "own")).alias("members"))
+
+    def run(batches):
+        for b in batches:
+            found = set()
+            for row in b.column(0).to_pylist():
+                bits = np.array([np.frombuffer(x["sketch"], np.uint64) for x in row["members"]])
+                n = np.array([x["n"] for x in row["members"]])
+                comp = np.unique([x["comp"] for x in row["members"]], return_inverse=True)[1]
+                own = np.array([x["own"] for x in row["members"]])
+                node = [x["node"] for x in row["members"]]
+                for k in range(len(node) - 1):
+                    rest = slice(k + 1, None)
+                    fits = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= PER_CENT * np.maximum(n[rest], n[k]))
+                    if row["i"] != row["j"]:
+                        fits &= own[rest] != own[k]
+                    fits &= 128 - np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64) >= SKETCH_MIN
+                    found.update((min(node[k], node[x]), max(node[k], node[x])) for x in (np.flatnonzero(fits) + k + 1).tolist())
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
+
+    return cells.select(F.struct("i", "j", "members").alias("cell")).mapInArrow(run, "a binary, b binary").distinct()
+
+
 def confirm(pairs, texts, size=SHINGLE):
     """The pairs whose full sets reach the threshold. texts: node, _text."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "_text": "_ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "_text": "_tb"}), "b").select("a", "b", "_ta", "_tb")
@@ -121,21 +160,32 @@ def components(edges):
             return labels
 
 
+def texts_of_nodes(pairs, nodes, docs):
+    """node, _text of the nodes in pairs, as a table."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("_key").alias("_k")), "node")
+    return written(docs.join(needed, docs["_key"] == needed["_k"]).select("node", "_text").dropDuplicates(["node"]), "texts")
+
+
 def near_duplicates(df, id_col="doc_id", text_col="text", size=SHINGLE):
     """id, n_shingles, component_id, kept and _key (xxhash64 of id and text) of each row."""
     docs = df.select(df[id_col].alias("_id"), row_key(df[id_col], df[text_col]).alias("_key"), df[text_col].alias("_text"))
     signed = written(sign(docs, size), "signed")
     nodes = signed.where("node is not null").groupBy("node", F.col("n_shingles").alias("n")).agg(F.min(F.struct("_key", "labels", "sketch")).alias("x"), F.min("_id").alias("least"))
     nodes = nodes.select("node", "n", "x.*", "least")
-    pairs = written(candidates(nodes), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("_key").alias("_k")), "node")
-    texts = docs.join(needed, docs["_key"] == needed["_k"]).select("node", "_text").dropDuplicates(["node"])
-    comps = components(confirm(pairs, written(texts, "texts"), size))
+    nodes = written(nodes, "nodes")
+    near = written(neighbours(nodes), "pairs")
+    first = components(confirm(near, texts_of_nodes(near, nodes, docs), size))
+    labelled = nodes.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = written(bucket_pairs(labelled).join(near, ["a", "b"], "left_anti"), "pairs")
+    late = confirm(rest, texts_of_nodes(rest, nodes, docs), size)
+    ends = labelled.select("node", "comp")
+    late = late.join(ends.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(ends.withColumnsRenamed({"node": "b", "comp": "cb"}), "b")
+    second = components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+    comps = ends.join(second, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
     named = nodes.select("node", "least").join(comps, "node")
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_node = named.join(least, "comp").select(F.col("node").alias("_n"), "component_id")
-    whole = nodes.select("node", "least").join(by_node, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    out = signed.join(whole, "node", "left")
+    out = signed.join(by_node, F.col("node") == F.col("_n"), "left")
     comp = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"), "_key")
 

@@ -47,23 +47,40 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.duplicate_groups(docs.limit(0)).count() == 0
 
 
-def test_near_dedup_against_all_pairs(spark, docs):
+def crowd(seed=9):
+    """Texts that share a passage and are mostly just below the threshold to each other, with chains of near copies between."""
+    rng = random.Random(seed)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    passage, out = [word() for _ in range(80)], []
+    for k in range(220):
+        own = [word() for _ in range(rng.randint(14, 30))]
+        if out and k % 5 == 0:
+            own = out[rng.randrange(len(out))][80:]
+            own[rng.randrange(len(own))] = word()
+        out.append(passage + own)
+    return [(k, " ".join(t), "en", "s", 0, "clash", 1) for k, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("data", [corpus, crowd])
+def test_near_dedup_against_all_pairs(spark, data):
+    docs = spark.createDataFrame(data(), DOCS).repartition(3)
     sets = {}
-    for r in corpus():
+    for r in data():
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or "").encode().split()
         sets.setdefault(r[0], {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
     inf = 10**9
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if (x := len(sets[a] & sets[b])) and 100 * x >= 75 * len(sets[a] | sets[b])]
     comp = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for a, b in itertools.combinations(sets, 2):
-            if (x := len(sets[a] & sets[b])) and 100 * x >= 75 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+        for a, b in links:
+            if comp[a] != comp[b]:
                 comp[a] = comp[b] = min(comp[a], comp[b], key=lambda i: inf if i is None else i)
                 changed = True
     got = near_dedup.near_duplicates(docs).collect()
     assert all(r["component_id"] == comp[r["doc_id"]] and r["n_shingles"] == len(sets[r["doc_id"]]) for r in got)
-    assert len(got) == len(corpus())
+    assert len(got) == len(data()) and len(set(comp.values())) > 20
     assert near_dedup.deduplicate(docs).columns == docs.columns
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
