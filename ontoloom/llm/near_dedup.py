@@ -29,10 +29,13 @@ _rng = np.random.Generator(np.random.PCG64(5))
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minhashes of 32 bits."""
-    least = np.array([(shingles * f).min() for f in FACTORS], dtype=np.uint64)
-    return (mix(least) >> U(32)).astype(">u4")
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """TREES * DEPTH minhashes of 32 bits for each set; none may be empty."""
+    every = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    scaled = np.empty_like(every)
+    least = np.array([np.minimum.reduceat(np.multiply(every, f, out=scaled), starts) for f in FACTORS]).T
+    return (mix(np.ascontiguousarray(least)) >> U(32)).astype(">u4")
 
 
 def sign(docs, size=SHINGLE):
@@ -44,7 +47,9 @@ def sign(docs, size=SHINGLE):
         for whole in batches:
             for b in slices(whole, 2):
                 sets = shingle_sets(texts_of(b.column(2)), size)
-                sigs = [signature(s) if len(s) else None for s in sets]
+                full = [s for s in sets if len(s)]
+                found = iter(signatures(full)) if full else iter(())
+                sigs = [next(found) if len(s) else None for s in sets]
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 labels = [None if s is None else s.tobytes() for s in sigs]
                 sketch = [None if s is None else np.packbits((s & 1).astype(np.uint8)).tobytes() for s in sigs]
@@ -64,33 +69,41 @@ def spots(nodes, *columns):
 
 def neighbours(nodes):
     """Pairs a < b of neighbours in the sorted orders. nodes: node, n, labels, sketch."""
-    width = DEPTH * 4
     ordered = spots(nodes).repartitionByRange(partitions(nodes.sparkSession), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
 
-    def shared(a, b):
-        k = 0
-        while k < width and a[k : k + 4] == b[k : k + 4]:
-            k += 4
-        return k // 4
-
     def meet(batches):
-        tree, last, first = None, [], None
+        tail = start = None  # the last WINDOW rows, and the first row of the current label
         for b in batches:
-            out = []
-            for t, label, node, n, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if t != tree:
-                    tree, last, first = t, [], None
-                row = (label, node, n, int.from_bytes(sketch, "big"))
-                if first is None or first[0] != label:
-                    first = row
-                far = shared(label, last[0][0]) if len(last) == WINDOW else 0
-                near = [x for x in last if shared(label, x[0]) > far] if far < DEPTH else [last[-1], first]
-                for x in near:
-                    if x[1] != node and 100 * min(n, x[2]) >= PER_CENT * max(n, x[2]) and 128 - (row[3] ^ x[3]).bit_count() >= SKETCH_MIN:
-                        out.append((min(node, x[1]), max(node, x[1])))
-                last = [*last[-WINDOW + 1 :], row]
-            a, z = zip(*set(out), strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(z, pa.binary())], ["a", "b"])
+            t = pa.Table.from_batches([b])
+            before = [] if tail is None else [start, tail]
+            lo, base = min(len(before), 1), sum(map(len, before))
+            t = pa.concat_tables([*before, t]).combine_chunks()
+            tree, n = t["tree"].to_numpy(), t["n"].to_numpy()
+            label = np.frombuffer(b"".join(t["label"].to_pylist()), ">u4").reshape(-1, DEPTH)
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(t), -1)
+            row = np.arange(base, len(t))
+
+            def shared(w):
+                other = np.maximum(row - w, 0)
+                there = (row - w >= lo) & (tree[other] == tree[row])
+                return np.where(there, np.cumprod(label[other] == label[row], axis=1).sum(1), 0)
+
+            far, one = shared(WINDOW), shared(1)
+            first = np.maximum.accumulate(np.where(one < DEPTH, row, 0))
+            crowded = far == DEPTH
+            left, right = [row[crowded], row[crowded]], [row[crowded] - 1, first[crowded]]
+            for w in range(1, WINDOW + 1):
+                near = row[shared(w) > far]
+                left.append(near)
+                right.append(near - w)
+            x, y = np.concatenate(left), np.concatenate(right)
+            fits = 100 * np.minimum(n[x], n[y]) >= PER_CENT * np.maximum(n[x], n[y])
+            fits &= 128 - np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) >= SKETCH_MIN
+            pairs = {(min(p), max(p)) for p in zip(t["node"].take(x[fits]).to_pylist(), t["node"].take(y[fits]).to_pylist(), strict=True) if p[0] != p[1]}
+            p, q = zip(*pairs, strict=True) if pairs else ((), ())
+            if len(row):
+                start, tail = t.slice(int(first[-1]), 1), t.slice(max(lo, len(t) - WINDOW))
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()), pa.array(q, pa.binary())], ["a", "b"])
 
     return ordered.mapInArrow(meet, "a binary, b binary").distinct()
 
