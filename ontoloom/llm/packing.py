@@ -78,16 +78,18 @@ class Chunks:
         new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > CACHE:
             self.ids, new = {}, words
-        tokenize, whole = self.tokenizer.model.tokenize, [w for w in new if w.isascii() and w.isalpha()]
-        self.ids.update((w, array("I", [t.id for t in tokenize(w)]).tobytes()) for w in whole)  # nothing splits or changes these before the model
-        rest = [w for w in new if not (w.isascii() and w.isalpha())]
+        plain = lambda w: w.isascii() and w.isalpha() and w.islower()  # noqa: E731  nothing splits or changes these before the model
+        tokenize, whole = self.tokenizer.model.tokenize, [w for w in new if plain(w)]
+        self.ids.update((w, array("I", [t.id for t in tokenize(w)]).tobytes()) for w in whole)
+        rest = [w for w in new if not plain(w)]
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             self.ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): the ids of text k and the closing 0 are ids[at[k]:at[k + 1]]."""
-        folded = [t if "\u0130" in t or "\u03a3" in t else t.lower() for t in texts]  # whose lower case depends on more than themselves
+        # The lower case of these two depends on more than themselves, and special tokens are looked for before lower-casing.
+        folded = [t if "\u0130" in t or "\u03a3" in t or "<|" in t else t.lower() for t in texts]
         spaced = pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in folded], pa.large_string())
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()

@@ -205,6 +205,16 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_of_texts_that_are_not_folded_at_once():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, chunks = Tokenizer.from_file(path), packing.Chunks(path)
+    for text in ["İstanbul Is A City", "The sum Σ Is Hello, World.", "ΟΔΟΣ Hello", "<|ENDOFTEXT|> Hello", "Hello <|endoftext|> World", "Hello World"]:
+        assert chunks.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_url_filter_against_all_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/en/12?x", "https://a.example.org/es/x", "http://org/", "http://org", "http://b.com/fr/#z", "http://b.com/de/", "http://m.free-bets.example.com/x", "x://notexample.org/en/1", "http://xorg/"]
     got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
