@@ -3,11 +3,12 @@
 Document evidence: a logistic model over style measures and hashed words, fitted on at most TRAIN_ROWS labelled rows (the
 ones with the smallest hashes). Site evidence: labelled rows of each host (source) and path (source, lang) are counted by
 grouped aggregation over all of them; a path's rate shrinks to its host's and a host's to the global one, with prior
-weights from the spread of the rates. The posterior adds the path's log odds, less the global ones, to the document's.
+weights from the spread of the rates. The posterior adds the path's log odds, less the global ones, to the document's; a
+path without labels has its host's.
 A document is accepted when its posterior of quality reaches ACCEPT and its probability of being toxic stays below TOXIC.
 
-Null text counts as empty, a null source or lang is a group of its own; unlabelled sites take the global prior; repeated
-rows are scored alike; labels of a repeated id count by their mean; with no labels at all everything is accepted.
+Null text counts as empty, a null source or lang is a group of its own; a host without labels takes the global
+prior; repeated rows are scored alike; labels of a repeated id count by their mean; with no labels at all everything is accepted.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def score(dense, words, model):
 
 
 def site_posteriors(labelled):
-    """(_s, _l, _site): log odds of a path's rate less the global ones; and the global log odds. labelled: source, lang, _q."""
+    """(_s, _l, _site) of the paths and (_hs, _host) of the hosts with labels: log odds of the rate less the global ones. labelled: source, lang, _q."""
     paths = labelled.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("good"))
     hosts = paths.groupBy("source").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
     g = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good"), F.var_pop(F.col("hgood") / F.col("hn")).alias("v"), F.avg(F.lit(1.0) / F.col("hn")).alias("inv")).first()
@@ -89,7 +90,8 @@ def site_posteriors(labelled):
     joined = paths.join(hosts.select(F.col("source").alias("_hs"), host.alias("_h")), F.col("source").eqNullSafe(F.col("_hs")))
     path = (F.col("good") + F.lit(weight) * F.col("_h")) / (F.col("n") + F.lit(weight))
     base = math.log(rate / (1 - rate))
-    return joined.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), (logit(path) - F.lit(base)).alias("_site"))
+    of_paths = joined.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), (logit(path) - F.lit(base)).alias("_site"))
+    return of_paths, hosts.select(F.col("source").alias("_hs"), (logit(host) - F.lit(base)).alias("_host"))
 
 
 def classify(docs, labels, train_rows=TRAIN_ROWS):
@@ -114,12 +116,16 @@ def classify(docs, labels, train_rows=TRAIN_ROWS):
                 yield pa.RecordBatch.from_arrays([*p.columns, *(pa.array(score(dense, words, m)) for m in held.value)], [*p.schema.names, "_zq", "_zt"])
 
     schema = StructType([*docs.schema.fields]).add("_zq", "double").add("_zt", "double")
-    sites = site_posteriors(keys)
-    if sites.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        sites = F.broadcast(sites)
-    both = docs.mapInArrow(scored, schema).join(sites, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")), "left")
+    paths, hosts = site_posteriors(keys)
+    few = lambda t: t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few_paths := few(paths):
+        paths = F.broadcast(paths)
+    if few_paths or few(hosts):  # each host has a path at least
+        hosts = F.broadcast(hosts)
+    both = docs.mapInArrow(scored, schema).join(paths, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")), "left")
+    both = both.join(hosts, F.col("source").eqNullSafe(F.col("_hs")), "left")
     p = lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    quality, toxic = p(F.col("_zq") + F.coalesce("_site", F.lit(0.0))), p(F.col("_zt"))
+    quality, toxic = p(F.col("_zq") + F.coalesce("_site", "_host", F.lit(0.0))), p(F.col("_zt"))
     return both.select(*[F.col(c) for c in docs.columns], quality.alias("p_quality"), toxic.alias("p_toxic"), ((quality >= ACCEPT) & (toxic < TOXIC)).alias("accepted"))
 
 

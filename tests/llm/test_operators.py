@@ -238,5 +238,24 @@ def test_quality_held_out(spark):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_quality_of_a_path_without_labels(spark, monkeypatch):
+    good = {"bad": 40, "a": 170, "b": 180, None: 160}
+    docs = [(1000 * h + k, "some plain words", "en", s) for h, s in enumerate(good) for k in range(200)]
+    labels = [(1000 * h + k, int(k < n), 0) for h, n in enumerate(good.values()) for k in range(200)]
+    odd = [(9001, "some plain words", "fr", "bad"), (9002, "some plain words", None, "bad"), (9003, "some plain words", "fr", None), (9004, "some plain words", "fr", "new")]
+    docs = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rate = (sum(good.values()) + 1) / 802
+    rates = [n / 200 for n in good.values()]
+    weight = min(max(rate * (1 - rate) / (np.var(rates) - rate * (1 - rate) / 200) - 1, 5), 1000)
+    logit = lambda p: np.log(p / (1 - p))
+    host = lambda n: logit((n + weight * rate) / (200 + weight)) - logit(rate)
+    for most in (quality.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
+        got = {r["doc_id"]: logit(r["p_quality"]) for r in quality.classify(docs, labels).where("doc_id > 9000").collect()}
+        assert got[9001] - got[9004] == pytest.approx(host(40)) and got[9002] == got[9001] and host(40) < -1.5
+        assert got[9003] - got[9004] == pytest.approx(host(160))
+
+
 def test_shingles_of_short_texts():
     assert [len(s) for s in shingle_sets([b"", b" ", b"a", b"a b c d", b"a b c d e", b"a a a a a a"])] == [0, 0, 1, 1, 1, 1]
