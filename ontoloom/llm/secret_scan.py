@@ -44,14 +44,19 @@ def linked_spans(text: str, base: list) -> list[tuple[int, int, int]]:
     left = sorted(secrets + [b for b in base if b[1] != 1])
     right = sorted(names + ends + [b for b in base if b[1] == 1])
 
-    def near(x, others, starts):
-        scope = bisect.bisect(breaks, x[0])
-        k = bisect.bisect_left(starts, x[0])
-        return any(bisect.bisect(breaks, o[0]) == scope and max(o[0] - x[2], x[0] - o[2]) <= WINDOW for o in others[max(0, k - 1) : k + 1])
-
-    out = [x for x in secrets if near(x, right, [o[0] for o in right])]
-    starts = [o[0] for o in left]
-    return sorted(out + [x for x in names + ends if near(x, left, starts)])
+    scope = lambda x: bisect.bisect(breaks, x[0])
+
+    def near(spans, others):
+        starts, tops = [o[0] for o in others], []  # tops: the largest end so far in the scope of each
+        for k, o in enumerate(others):
+            tops.append(max(o[2], tops[-1]) if k and scope(others[k - 1]) == scope(o) else o[2])
+        for x in spans:
+            k, at = bisect.bisect_left(starts, x[0]), scope(x)
+            before = k > 0 and scope(others[k - 1]) == at and x[0] - tops[k - 1] <= WINDOW
+            if before or k < len(others) and scope(others[k]) == at and starts[k] - x[2] <= WINDOW:
+                yield x
+
+    return sorted([*near(secrets, right), *near(names + ends, left)])
 
 
 def scan_secrets(df, id_col="doc_id", text_col="text"):

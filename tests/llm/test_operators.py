@@ -119,6 +119,22 @@ def test_secrets(spark):
     assert got[5][1] == got[7][1] == [] and [x[1] for x in got[6][1]] == ["identifier", "secret"]
 
 
+def test_linked_secrets_against_all_pairs():
+    rng, some = random.Random(6), 0
+    parts = ["login: bob", " key " + "Ab1" * 8 + " ", "token=" + "aB1" * 8 + "." * 500, " " * 300, "." * 250, "\n\n", " AKIA" + "A1" * 8 + " ", " https://api.example.com/x "]
+    texts = ["token=" + "aB1" * 8 + "." * 500 + " login: bob"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    for t in texts:
+        base = secret_scan.base_spans(t)
+        find = lambda k, p: [(m.start(), k, m.end()) for m in p.finditer(t)]
+        secrets, others = find(4, secret_scan.WEAK_SECRET), find(3, secret_scan.WEAK_ID) + find(5, secret_scan.ENDPOINT)
+        scope = lambda x: len(re.findall(r"\n[ \t]*\n", t[: x[0]]))
+        near = lambda xs, ys: [x for x in xs if any(scope(x) == scope(y) and max(y[0] - x[2], x[0] - y[2]) <= secret_scan.WINDOW for y in ys)]
+        want = near(secrets, others + [b for b in base if b[1] == 1]) + near(others, secrets + [b for b in base if b[1] != 1])
+        assert secret_scan.linked_spans(t, base) == sorted(want)
+        some += len(want)
+    assert some > 100 and (531, 3, 541) in secret_scan.linked_spans(texts[0], secret_scan.base_spans(texts[0]))
+
+
 def test_licenses_against_scan(spark):
     rng = random.Random(1)
     pool = "under the mit license apache version 2 0 cc by nc 4 licensed released all rights reserved Ünder x".split()
