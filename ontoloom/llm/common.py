@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Paths that written() has made and nothing has deleted yet.
+_LEFT: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +25,7 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset (as in tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
@@ -31,19 +35,36 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and any executor can read it again."""
+    """df as a table in the shared folder: its lineage ends there, and any executor can read it again. Deleted by forget(), clean() or when Python ends."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _LEFT[path] = df.sparkSession
+    out = df.sparkSession.read.parquet(path)
+    out._ontoloom_path = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of written() when no later step reads them."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of written() that no later step reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._ontoloom_path)
+        _LEFT.pop(t._ontoloom_path, None)
+
+
+def clean() -> None:
+    """Deletes all tables of written(); results that have not been stored yet can't be read any more."""
+    for path, spark in list(_LEFT.items()):
+        with contextlib.suppress(Exception):  # the session may be over
+            _delete(spark, path)
+        del _LEFT[path]
+
+
+atexit.register(clean)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,5 +72,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_key(*columns: Column) -> Column:
-    """A 64-bit key that depends on the content of a row alone, so that a task that runs again gives the same."""
-    return F.xxhash64(*columns)
+    """16 bytes that depend on the content of a row alone, so that a task that runs again gives the same. Nulls differ from all values."""
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws("\0", *parts)))
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, or name with underscores where a column has it already (in any case, as Spark's names don't differ by case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
