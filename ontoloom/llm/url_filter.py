@@ -1,13 +1,16 @@
 """URL filters: rules are indexed by their rarest literal token, and a URL's tokens fetch the rules to try.
 
-A rule is a regular expression over "host path" with the literal tokens that any match must hold (runs of 0-9, A-Z, a-z
-as lower case, each bounded by other characters). Token counts over all URLs pick the rarest token of each rule as its
-only index key. A URL is cut into tokens, these look up candidate rules, and only those run their expressions. The winner
-is the fitting rule of highest rank; address rules rank by length, above all pattern rules.
-
-Cases: a null URL or one without "://" has an empty host and path, no rule, and the default verdict; a rule without any
-literal token is tried on every URL; rows may repeat; an empty table gives an empty result; columns other than the id and
-the URL are not read.
+Rules are written in the usual syntax of filter lists and matched against the address, host and path run together:
+`||host/path` fits the host and its subdomains, and paths that start with the rule's; `*` stands for any run and `^` for
+one character other than 0-9, A-Z and a-z, or an end; `@@` before a rule makes it allow rather than block. A rule's tokens
+are the literal runs of 0-9, A-Z, a-z (as lower case) that any match holds bounded on both sides. Token counts over all
+URLs pick the rarest token of each rule as its only index key. A URL is cut into tokens, these look up candidate rules,
+and only those run their regular expressions. The fitting rule of highest rank wins; address rules rank by length, above
+all pattern rules.
+
+Cases: a null URL or one without "://" has an empty host and path, no rule, and the default verdict; hosts and paths may
+hold any character; a rule without any literal token is tried on every URL; rows may repeat; an empty table gives an empty
+result; columns other than the id and the URL are not read; long URLs are matched whole.
 """
 
 from __future__ import annotations
@@ -19,44 +22,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import LOWER, UPPER, table
+from ontoloom.llm.common import LOWER, UPPER, ascii_lower, table
 
 TOKEN = re.compile("[0-9A-Za-z]+")
 FOLD = str.maketrans(UPPER, LOWER)
+#: A table of more rules than this is refused: every task holds the rules.
+MAX_RULES = 2_000_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """verdict: allow or block. name: what results show. pattern: searched in host + " " + path. tokens: literals that a match holds. rank: the highest wins."""
+    """verdict: allow or block. name: what results show. pattern: searched in host + path. fold: whether the path is lower-cased for it. tokens: literals that a match holds. rank: the highest wins."""
 
     verdict: str
     name: str | None
     pattern: str
+    fold: bool
     tokens: tuple[str, ...]
     rank: int
 
 
-def address_rule(verdict: str, address: str) -> Rule:
-    """address: host/path; it fits the host and its subdomains, and paths that start with the rule's. The last run of the path may go on in a URL, so it is no token."""
-    host, slash, path = address.partition("/")
-    path = slash + path
-    whole = re.sub("[0-9A-Za-z]+$", "", path)
-    return Rule(verdict, address, rf"^(?:[^ ]*\.)?{re.escape(host)} {re.escape(path)}", tuple(t.translate(FOLD) for t in TOKEN.findall(f"{host} {whole}")), 1_000_000 + len(address))
-
-
-def label_rule(verdict: str, label: str) -> Rule:
-    """Fits hosts in which one of the dot-separated names is the label; name is not shown in results."""
-    return Rule(verdict, None, rf"^(?:[^ ]*\.)?{re.escape(label)}(?:\.[^ ]*)? ", tuple(TOKEN.findall(label)), len(label))
-
-
-#: The rules that the query is to apply, and host names that stand for advertising, gambling, adult and pharmacy spam.
+def _tokens(literal: str, open_left: bool, open_right: bool) -> tuple[str, ...]:
+    """Tokens of the literal; runs at * and at an open end may go on in a URL."""
+    out = []
+    for m in TOKEN.finditer(literal):
+        left, right = literal[: m.start()][-1:], literal[m.end() :][:1]
+        if left != "*" and right != "*" and (left or not open_left) and (right or not open_right):
+            out.append(m[0].translate(FOLD))
+    return tuple(out)
+
+
+def parse_rule(text: str, show: bool = False, fold: bool = True) -> Rule:
+    """The rule that a line of a filter list states. show: results name it, and it ranks by length above the others; fold: its path fits in any case."""
+    allow, body = text.startswith("@@"), text.removeprefix("@@")
+    anchored = body.startswith("||")
+    body = body.removeprefix("||")
+    parts = {"*": ".*", "^": r"(?:[^0-9A-Za-z]|\A|\Z)"}
+    of = lambda s: "".join(parts.get(c) or re.escape(c.translate(FOLD) if fold else c) for c in s)
+    if anchored:
+        host, slash, path = body.partition("/")
+        host = host.translate(FOLD)
+        pattern = rf"\A(?:[^/]*\.)?{of(host)}{'/' if slash else '(?=/|' + chr(92) + 'Z)'}{of(path)}"
+        tokens = _tokens(f"{host}/{path}", False, bool(slash and path))
+    else:
+        pattern, tokens = of(body), _tokens(body, True, True)
+    return Rule("allow" if allow else "block", body if show else None, pattern, fold, tokens, len(body) + 1_000_000 * show)
+
+
+#: The rules that the query is to apply.
 ADDRESSES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-SPAM_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-RULES = [address_rule(*x) for x in ADDRESSES] + [label_rule("block", x) for x in SPAM_LABELS]
+#: Words that mark advertising, tracking, gambling, adult and pharmacy spam where they stand alone in an address.
+SPAM_WORDS = [
+    "ads", "adserver", "adult", "affiliate", "baccarat", "banner", "bet", "bets", "betting", "bingo", "casino", "casinos", "cialis", "click", "clicks", "doubleclick", "escort", "gambling", "jackpot",
+    "loan", "loans", "lottery", "malware", "payday", "pharmacy", "phishing", "pills", "poker", "popup", "porn", "roulette", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx",
+]
+RULES = [parse_rule(("@@" if v == "allow" else "") + "||" + a, show=True, fold=False) for v, a in ADDRESSES] + [parse_rule(f"^{w}^") for w in SPAM_WORDS]
 
 OUT = "{id} {type}, host string, path string, rule string, verdict string, candidates int, rules_matched int"
 
 
+def read_rules(lines: DataFrame, column: str = "rule") -> list[Rule]:
+    """The rules of a table of filter-list lines; blank ones, comments (!) and nulls are left out."""
+    found = lines.select(F.trim(lines[column]).alias("r")).where("r != '' and not startswith(r, '!')").distinct().limit(MAX_RULES + 1).collect()
+    if len(found) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [parse_rule(r["r"]) for r in sorted(found)]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path."""
     _, found, rest = (url or "").partition("://")
@@ -68,9 +100,11 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def token_counts(urls: DataFrame, url_col: str, vocabulary: set[str]) -> dict[str, int]:
     """How many URLs hold each token that a rule names; no more rows reach the driver than rules have tokens."""
-    tokens = F.array_distinct(F.split(F.lower(urls[url_col]), "[^0-9a-z]+"))
-    named = urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, sorted(vocabulary))))).alias("token"))
-    return {r["token"]: r["count"] for r in named.groupBy("token").count().collect()} if vocabulary else {}
+    if not vocabulary:
+        return {}
+    tokens = F.array_distinct(F.split(ascii_lower(urls[url_col]), "[^0-9a-z]+"))
+    named = urls.select(F.explode(F.filter(tokens, lambda t: t.isin(*sorted(vocabulary)))).alias("token"))
+    return {r["token"]: r["count"] for r in named.groupBy("token").count().collect()}
 
 
 class RuleIndex:
@@ -78,20 +112,26 @@ class RuleIndex:
         self.always: list[int] = []
         self.by_token: dict[str, list[int]] = {}
         self.rules = rules
-        self.compiled = [re.compile(r.pattern, re.DOTALL) for r in rules]
+        self.compiled: dict[int, re.Pattern] = {}
         for k, r in enumerate(rules):
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(k)
             else:
                 self.always.append(k)
 
+    def fits(self, k: int, address: str, folded: str) -> bool:
+        rule = self.rules[k]
+        if k not in self.compiled:
+            self.compiled[k] = re.compile(rule.pattern, re.DOTALL)
+        return self.compiled[k].search(folded if rule.fold else address) is not None
+
     def judge(self, host: str, path: str) -> tuple[Rule | None, int, int]:
         """The winner, how many rules were tried, how many fitted."""
-        tried = [*self.always]
-        for t in {x.translate(FOLD) for x in TOKEN.findall(f"{host} {path}")}:
+        address = host + path
+        folded, tried = address.translate(FOLD), [*self.always]
+        for t in set(TOKEN.findall(folded)):
             tried += self.by_token.get(t, [])
-        subject = f"{host} {path}"
-        fits = [k for k in tried if self.compiled[k].search(subject)]
+        fits = [k for k in tried if self.fits(k, address, folded)]
         best = max(fits, key=lambda k: (self.rules[k].rank, -k), default=None)
         return (None if best is None else self.rules[best]), len(tried), len(fits)
 
@@ -116,24 +156,24 @@ def filter_urls(df: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id
     return source.mapInArrow(judge, OUT.format(id=f"`{id_col}`", type=source.schema[0].dataType.simpleString()))
 
 
-
 def op10_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages")).drop("candidates", "rules_matched")
 
 
-_LABELS = ", ".join(f"'{x}'" for x in SPAM_LABELS)
+_WORDS = ", ".join(f"'{x}'" for x in SPAM_WORDS)
 _FITS = "host = '{h}' OR ends_with(host, '.{h}')"
 _RULES = sorted(ADDRESSES, key=lambda x: -len(x[1]))
 _WHEN = " ".join(f"WHEN ({_FITS.format(h=a.partition('/')[0])}) AND starts_with(path, '/{a.partition('/')[2]}') THEN '{a}'" for _, a in _RULES)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 ruled AS (SELECT *, CASE {_WHEN} END AS rule FROM parts)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ({', '.join(f"'{a}'" for v, a in ADDRESSES if v == 'allow')}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN list_has_any(string_split(host, '.'), [{_LABELS}]) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN list_has_any(regexp_extract_all({_LOWER.format('host || path')}, '[0-9a-z]+'), [{_WORDS}]) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
