@@ -4,17 +4,23 @@ Texts are lower-cased in A-Z with white space folded to one space. An item of n
 e = n // ERROR_SHARE edits; it is cut into e + 1 pieces, of which one at least occurs unchanged in any match. An
 automaton finds all piece hits, and each hit's neighbourhood is verified by Myers' bit-parallel distance.
 The items are the stated query set: they are collected only while under MAX_ITEM_BYTES; a larger set runs in blocks of
-that size, one pass for each. Null texts and items match nothing; items repeated match each; other columns are kept.
+that size, one pass for each.
+
+Cases: null texts and items match nothing; items of fewer than LEAST characters, folded, match nothing, as they occur
+everywhere; items repeated match each; item ids may have any type and be null; an empty table of either side gives an empty
+result (decontaminate: keeps all documents); long texts are searched whole; decontaminate keeps other columns as they are,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ontoloom.llm.common import LOWER, UPPER, table
 
-ERROR_SHARE, MAX_ITEM_BYTES = 20, 8 << 20
+ERROR_SHARE, LEAST, MAX_ITEM_BYTES = 20, 20, 8 << 20
 FOLD = str.maketrans(UPPER, LOWER)
 
 
@@ -50,7 +56,7 @@ class Matcher:
     def __init__(self, items: list[tuple]) -> None:
         import ahocorasick
 
-        self.items = [(i, t, len(t) // ERROR_SHARE) for i, t in ((i, fold(t)) for i, t in items) if t]
+        self.items = [(i, t, len(t) // ERROR_SHARE) for i, t in ((i, fold(t)) for i, t in items) if len(t) >= LEAST]
         pieces: dict[str, list] = {}
         for k, (_, t, e) in enumerate(self.items):
             for at, p in cut(t, e + 1):
@@ -97,7 +103,8 @@ def item_blocks(benchmark, id_col, text_col):
 def find_leaks(docs, benchmark, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
     """doc id, item id, distance, stop (in the folded text): one row for each document and item that match."""
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    kind, item_kind = source.schema[0].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    kind, item_type = source.schema[0].dataType.simpleString(), benchmark.schema[item_col].dataType
+    item_kind, item_arrow = item_type.simpleString(), to_arrow_type(item_type)
 
     def over(block):
         def run(batches):
@@ -105,7 +112,7 @@ def find_leaks(docs, benchmark, id_col="doc_id", text_col="text", item_col="item
             for b in batches:
                 found = [(k, *x) for k, t in enumerate(b.column(1).to_pylist()) for x in m.find(t)]
                 at, items, d, stop = zip(*found, strict=True) if found else ((),) * 4
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64() if item_kind == "bigint" else None), pa.array(d, pa.int32()), pa.array(stop, pa.int64())], ["_id", "_item", "distance", "stop"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_arrow), pa.array(d, pa.int32()), pa.array(stop, pa.int64())], ["_id", "_item", "distance", "stop"])
 
         return source.mapInArrow(run, f"_id {kind}, _item {item_kind}, distance int, stop long")
 
