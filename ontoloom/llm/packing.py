@@ -4,9 +4,12 @@ Token pieces are described by their lengths alone, and lengths are at most `capa
 histogram: for each bin, a subset-sum bitset over the lengths still available finds the fullest feasible combination,
 which is removed as often as the counts allow. Pieces then take the places of their length in order of their ordinal,
 which comes from counts by (task, length) summed in a window; no group of pieces is gathered.
-Null text counts as empty (one closing token); repeated rows are packed as separate documents; an empty table gives an
-empty result. Tokenising goes by the distinct white-space-separated chunks of a batch, which the tokenizer never merges, with a
-bounded cache.
+Tokenising goes by the distinct white-space-separated chunks of a batch, which the tokenizer never merges, with a cache
+bounded in bytes.
+
+Cases: null text counts as empty (one closing token); repeated rows are packed as separate documents, null ids too; an empty
+table gives an empty result; long texts are cut into pieces of the capacity; pieces of one length tie and take their places
+in the order of their tasks; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from ontoloom.llm.common import table, written
 from ontoloom.llm.textbatch import slices
 
 CAPACITY = 2048
-CACHE = 800_000
+#: Bytes of chunks and ids that a worker keeps (a Python object adds about 100 to each); longer chunks than CHUNK are not kept.
+CACHE, CHUNK = 24 << 20, 256
 #: A full stop or comma after a letter at the end of a chunk is a token of its own.
 STOP = re.compile(r"[a-z][.,]\Z")
 #: One cache for each worker process and vocabulary; it lives on from task to task.
@@ -66,25 +70,31 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tu
 
 
 class Chunks:
-    """Token ids of texts, by their distinct white-space-separated chunks. The cache is dropped when it holds CACHE chunks."""
+    """Token ids of texts, by their distinct white-space-separated chunks. The cache is dropped when it holds CACHE bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.size = Tokenizer.from_file(path), {}, 0
 
-    def learn(self, words: list[str]) -> None:
-        """Sees to it that the cache holds all words; words are distinct."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > CACHE:
-            self.ids, new = {}, words
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word; words are distinct."""
+        ids = {w: x for w in words if (x := self.kept.get(w)) is not None}
+        new = [w for w in words if w not in ids]
         plain = lambda w: w.isascii() and w.isalpha() and w.islower()  # noqa: E731  nothing splits or changes these before the model
-        tokenize, whole = self.tokenizer.model.tokenize, [w for w in new if plain(w)]
-        self.ids.update((w, array("I", [t.id for t in tokenize(w)]).tobytes()) for w in whole)
+        tokenize = self.tokenizer.model.tokenize
+        found = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in new if plain(w)}
         rest = [w for w in new if not plain(w)]
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
-            self.ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+            found.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        size = sum(len(w) + len(x) for w, x in found.items() if len(w) <= CHUNK)
+        if self.size + size > CACHE:
+            self.kept, self.size = {}, 0
+        if size <= CACHE:
+            self.kept.update((w, x) for w, x in found.items() if len(w) <= CHUNK)
+            self.size += size
+        return ids | found
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): the ids of text k and the closing 0 are ids[at[k]:at[k + 1]]."""
@@ -95,8 +105,7 @@ class Chunks:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         stems = [w[:-1] if STOP.search(w) else w for w in words]
-        self.learn(list(dict.fromkeys([*stems, ".", ","])))
-        known = self.ids
+        known = self.learn(list(dict.fromkeys([*stems, ".", ","])))
         of = [known[w] if w is s else known[s] + known[w[-1]] for w, s in zip(words, stems, strict=True)]
         size = np.array([len(x) // 4 for x in of], dtype=np.int64)
         ids, first = np.frombuffer(b"".join(of), dtype="<u4"), np.cumsum(size) - size
