@@ -2,13 +2,15 @@
 
 Document evidence: a logistic model over style measures and hashed words, fitted on at most TRAIN_ROWS labelled rows (the
 ones with the smallest hashes). Site evidence: labelled rows of each host (source) and path (source, lang) are counted by
-grouped aggregation over all of them; a path's rate shrinks to its host's and a host's to the global one, with prior
-weights from the spread of the rates. The posterior adds the path's log odds, less the global ones, to the document's; a
+grouped aggregation over all of them; a path's rate shrinks to its host's and a host's to the global one, each level with
+a prior weight of its own, from the spread of its rates. The posterior adds the path's log odds, less the global ones, to the document's; a
 path without labels has its host's.
 A document is accepted when its posterior of quality reaches ACCEPT and its probability of being toxic stays below TOXIC.
 
-Null text counts as empty, a null source or lang is a group of its own; a host without labels takes the global
-prior; repeated rows are scored alike; labels of a repeated id count by their mean; with no labels at all everything is accepted.
+Cases: null text counts as empty, a null source or lang is a group of its own; a host without labels takes the global
+prior; repeated rows are scored alike; labels of a repeated id count by their mean; with no labels at all everything is
+accepted; an empty table gives an empty result; long texts are scored whole; other columns are kept, but columns named like
+the operator's own (names) are replaced by them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ontoloom.llm.common import table
+from ontoloom.llm.common import fresh, table
 from ontoloom.llm.textbatch import U, Words, slices, texts_of
 
 TRAIN_ROWS, BUCKETS, ACCEPT, TOXIC = 6000, 1 << 14, 0.5, 0.5
@@ -77,56 +79,78 @@ def score(dense, words, model):
     return np.clip(dense @ wd + np.array([ww[ix].sum() / math.sqrt(len(ix) + 1) for ix in words]), -30, 30)
 
 
+def prior_weight(rate, spread, noise) -> float:
+    """How many labels the prior of a level counts for: few where the rates below it spread, many where they don't. spread: the variance of the rates; noise: the mean of 1 / labels."""
+    own = max((spread or 0) - rate * (1 - rate) * (noise or 0), 1e-6)  # without the noise of their counts
+    return float(min(max(rate * (1 - rate) / own - 1, 5.0), 1000.0))
+
+
 def site_posteriors(labelled):
     """(_s, _l, _site) of the paths and (_hs, _host) of the hosts with labels: log odds of the rate less the global ones. labelled: source, lang, _q."""
     paths = labelled.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("good"))
     hosts = paths.groupBy("source").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    g = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good"), F.var_pop(F.col("hgood") / F.col("hn")).alias("v"), F.avg(F.lit(1.0) / F.col("hn")).alias("inv")).first()
+    one = F.lit(1.0)
+    g = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good"), F.var_pop(F.col("hgood") / F.col("hn")).alias("v"), F.avg(one / F.col("hn")).alias("inv")).first()
     rate = (g["good"] + 1) / (g["n"] + 2)
-    spread = max((g["v"] or 0) - rate * (1 - rate) * (g["inv"] or 0), 1e-6)  # of the hosts' rates, without the noise of their counts
-    weight = float(min(max(rate * (1 - rate) / spread - 1, 5.0), 1000.0))
-    logit = lambda p: F.log(p / (F.lit(1.0) - p))
+    weight = prior_weight(rate, g["v"], g["inv"])
+    logit = lambda p: F.log(p / (one - p))
     host = (F.col("hgood") + F.lit(weight * rate)) / (F.col("hn") + F.lit(weight))
     joined = paths.join(hosts.select(F.col("source").alias("_hs"), host.alias("_h")), F.col("source").eqNullSafe(F.col("_hs")))
-    path = (F.col("good") + F.lit(weight) * F.col("_h")) / (F.col("n") + F.lit(weight))
+    below = joined.agg(F.avg(F.pow(F.col("good") / F.col("n") - F.col("_h"), 2)).alias("v"), F.avg(one / F.col("n")).alias("inv")).first()
+    inner = F.lit(prior_weight(rate, below["v"], below["inv"]))  # of a host's posterior over its paths
+    path = (F.col("good") + inner * F.col("_h")) / (F.col("n") + inner)
     base = math.log(rate / (1 - rate))
     of_paths = joined.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), (logit(path) - F.lit(base)).alias("_site"))
     return of_paths, hosts.select(F.col("source").alias("_hs"), (logit(host) - F.lit(base)).alias("_host"))
 
 
-def classify(docs, labels, train_rows=TRAIN_ROWS):
-    """docs (doc_id, text, lang, source and more) with p_quality, p_toxic and accepted. The text is not shuffled, but for the labelled rows that train."""
+NAMES = ("p_quality", "p_toxic", "accepted")
+
+
+def classify(docs, labels, train_rows=TRAIN_ROWS, names=NAMES):
+    """docs (doc_id, text, lang, source and more) with the columns of names: p_quality, p_toxic and accepted. The text is not shuffled, but for the labelled rows that train."""
+    docs = docs.drop(*names)
     known = labels.groupBy(F.col("doc_id").alias("_ld")).agg(F.avg("quality").alias("_q"), F.avg("toxic").alias("_t")).where("_ld is not null and _q is not null")
-    keys = docs.select("doc_id", "source", "lang").join(known, F.col("doc_id") == F.col("_ld"))
+    keys = docs.select(F.col("doc_id").alias("_dd"), "source", "lang").join(known, F.col("_dd") == F.col("_ld")).select("source", "lang", "_q")
     sample = F.broadcast(known.orderBy(F.xxhash64("_ld"), "_ld").limit(train_rows))
-    rows = docs.join(sample, docs["doc_id"] == sample["_ld"]).select("text", "_q", "_t", F.xxhash64("_ld", "text").alias("_o"))
+    plain = docs.select(F.col("text"), F.col("doc_id").alias("_dd"))
+    rows = plain.join(sample, F.col("_dd") == F.col("_ld")).select("text", "_q", "_t", F.xxhash64("_ld", "text").alias("_o"))
     rows = rows.mapInArrow(described, "_dense binary, _words binary, _q double, _t double, _o long").sort("_o").limit(train_rows).toPandas()
     if not len(rows):
-        return docs.withColumns({"p_quality": F.lit(1.0), "p_toxic": F.lit(0.0), "accepted": F.lit(True)})
+        return docs.withColumns(dict(zip(names, (F.lit(1.0), F.lit(0.0), F.lit(True)), strict=True)))
     dense = np.stack([np.frombuffer(x) for x in rows["_dense"]])
     words = [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in rows["_words"]]
     models = [fit(dense, words, rows[c].fillna(0).to_numpy()) for c in ("_q", "_t")]
     held = docs.sparkSession.sparkContext.broadcast([(d, w.astype(np.float32)) for d, w in models])
     at = docs.columns.index("text")
+    zq, zt, s, l, site, hs, host = (fresh(x, docs) for x in ("_zq", "_zt", "_s", "_l", "_site", "_hs", "_host"))
 
     def scored(batches):
         for b in batches:
             for p in slices(b, at, 500):
                 dense, words = features(texts_of(p.column(at)))
-                yield pa.RecordBatch.from_arrays([*p.columns, *(pa.array(score(dense, words, m)) for m in held.value)], [*p.schema.names, "_zq", "_zt"])
+                yield pa.RecordBatch.from_arrays([*p.columns, *(pa.array(score(dense, words, m)) for m in held.value)], [*p.schema.names, zq, zt])
 
-    schema = StructType([*docs.schema.fields]).add("_zq", "double").add("_zt", "double")
+    schema = StructType([*docs.schema.fields]).add(zq, "double").add(zt, "double")
     paths, hosts = site_posteriors(keys)
+    paths, hosts = paths.select(F.col("_s").alias(s), F.col("_l").alias(l), F.col("_site").alias(site)), hosts.select(F.col("_hs").alias(hs), F.col("_host").alias(host))
     few = lambda t: t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few_paths := few(paths):
         paths = F.broadcast(paths)
     if few_paths or few(hosts):  # each host has a path at least
         hosts = F.broadcast(hosts)
-    both = docs.mapInArrow(scored, schema).join(paths, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")), "left")
-    both = both.join(hosts, F.col("source").eqNullSafe(F.col("_hs")), "left")
+    both = docs.mapInArrow(scored, schema).join(paths, F.col("source").eqNullSafe(F.col(s)) & F.col("lang").eqNullSafe(F.col(l)), "left")
+    both = both.join(hosts, F.col("source").eqNullSafe(F.col(hs)), "left")
     p = lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    quality, toxic = p(F.col("_zq") + F.coalesce("_site", "_host", F.lit(0.0))), p(F.col("_zt"))
-    return both.select(*[F.col(c) for c in docs.columns], quality.alias("p_quality"), toxic.alias("p_toxic"), ((quality >= ACCEPT) & (toxic < TOXIC)).alias("accepted"))
+    quality, toxic = p(F.col(zq) + F.coalesce(site, host, F.lit(0.0))), p(F.col(zt))
+    verdicts = zip((quality, toxic, (quality >= ACCEPT) & (toxic < TOXIC)), names, strict=True)
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(n) for v, n in verdicts])
+
+
+def keep_accepted(docs, labels):
+    """The rows of docs that classify() accepts, with all their columns, whatever their names."""
+    names = tuple(fresh(n, docs) for n in NAMES)
+    return classify(docs, labels, names=names).where(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_quality_classifier(spark, sf_dir):
