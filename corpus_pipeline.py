@@ -5,7 +5,7 @@ from ontoloom.llm.common import table, written
 
 
 def keep_quality(spark, docs, sf_dir):
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("accepted").select(*docs.columns)
+    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark, docs, sf_dir):
