@@ -1,18 +1,27 @@
 """MinHash near-dedup by an LSH forest.
 
-Rows with equal shingle sets collapse into one node first. Each of TREES orders sorts the nodes by a label of DEPTH
-minhashes, and a node meets its nearest neighbours before it: those that share the first minhash, or, where a region is
-so crowded that WINDOW predecessors all share d minhashes, only those that share more than d; where whole labels are
-shared, the nearest one and the first node of the label. Confirmed pairs give provisional components. What neighbours
-leave open is then settled without a limit: wherever nodes of different components share a whole label, every two of
-them of different components are compared, in cells of about 2 * CELL nodes, so that no label meets in one task; nodes
-of one component need no further link. So a pair of similarity 0.75 is missed only where it shares no whole label in any
-order (5 in a million). A sketch of 128 minhash bits and the set sizes discard pairs that can't reach the threshold (5
-standard deviations off), and the rest are confirmed on full sets.
+Rows with equal shingle sets collapse into one node first. Each of TREES orders sorts the nodes by a label of LEVELS
+minhashes (the first DEPTH are the order's own, the deeper ones those of the next orders), so neighbours are the nodes with
+the longest common prefix, and the depth at which they meet follows the region:
+
+1. A node meets those of its WINDOW predecessors that share more minhashes than the one WINDOW places before, at least
+   one. Where even that one shares DEPTH minhashes, the region is crowded: the node meets its nearest predecessor, which
+   shares the longest prefix, and the first node of the region's run.
+2. Pairs that a sketch of 128 minhash bits and the set sizes leave open are confirmed on full sets, first the best one of
+   each node, then those that lie in different components still.
+3. Runs of equal labels (DEPTH minhashes) of more than WINDOW nodes, or cut by a task's end, are the only places where nodes
+   that share a label have not all met. Where such a run still holds nodes of different components, its nodes take part
+   in an exact similarity join: shingles ordered by frequency, rarest first; a pair must share a shingle in the prefixes
+   that the threshold leaves, at places that still allow the overlap. Frequent shingles, such as those of a passage that
+   crowds the run, come last, so a crowd does not become all pairs. Nothing is capped or sampled.
+
+So a pair of similarity 0.75 is missed only where it shares no whole label in any order (5 in a million) or the sketch is
+5 standard deviations off.
 
 Cases: null text or text without words has an empty set and is linked with nothing; fewer words than a shingle count as
-one shingle; null ids rank last for component_id, and a component of null ids alone has a null one; repeated rows share a
-component; an empty table gives an empty result; other columns are not read.
+one shingle; long texts are taken whole; null ids rank last for component_id, and a component of null ids alone has a null
+one; repeated rows share a component; an empty table gives an empty result; other columns are not read, and deduplicate
+keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import forget, partitions, row_key, table, written
+from ontoloom.llm.common import forget, fresh, partitions, row_key, table, written
 from ontoloom.llm.textbatch import U, mix, shingle_sets, slices, texts_of
 
-SHINGLE, PER_CENT, TREES, DEPTH, WINDOW, CELL, SKETCH_MIN = 5, 75, 32, 4, 8, 64, 92
+SHINGLE, PER_CENT, TREES, DEPTH, LEVELS, WINDOW, SKETCH_MIN = 5, 75, 32, 4, 8, 8, 92
+#: Texts and keys are sought in tables of this many hash buckets at most, which bounds the broadcast of the buckets.
+BUCKETS = 1 << 18
+#: A table of no more dropped rows than this (16 bytes each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _rng = np.random.Generator(np.random.PCG64(5))
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
+#: Bytes of a spot: tree, own minhashes, deeper ones by 16 bits; then the node, its size and its sketch.
+LABEL = 1 + 4 * DEPTH + 2 * (LEVELS - DEPTH)
+SPOT = np.dtype([("tree", "u1"), ("own", ">u4", DEPTH), ("deep", ">u2", LEVELS - DEPTH), ("node", "V16"), ("n", ">u4"), ("sketch", "u8", 2)])
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -39,7 +55,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sign(docs, size=SHINGLE):
-    """docs: _id, _key, _text. Gives _id, _key, n_shingles, node (null for empty sets), labels (TREES * DEPTH * 4 bytes), sketch."""
+    """docs: _id, _key, _text. Gives _id, _key, n_shingles, node (null for empty sets), labels (TREES * DEPTH * 4 bytes)."""
 
     def run(batches):
         import xxhash
@@ -49,104 +65,143 @@ def sign(docs, size=SHINGLE):
                 sets = shingle_sets(texts_of(b.column(2)), size)
                 full = [s for s in sets if len(s)]
                 found = iter(signatures(full)) if full else iter(())
-                sigs = [next(found) if len(s) else None for s in sets]
+                labels = [next(found).tobytes() if len(s) else None for s in sets]
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                labels = [None if s is None else s.tobytes() for s in sigs]
-                sketch = [None if s is None else np.packbits((s & 1).astype(np.uint8)).tobytes() for s in sigs]
-                cols = [pa.array(node, pa.binary()), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), *cols], ["_id", "_key", "n_shingles", "node", "labels", "sketch"])
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(labels, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_id", "_key", "n_shingles", "node", "labels"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, _key long, n_shingles long, node binary, labels binary, sketch binary")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, _key binary, n_shingles long, node binary, labels binary")
 
 
-def spots(nodes, *columns):
-    """The places of each node in the orders: tree, label, node, n, sketch and other columns."""
-    width = DEPTH * 4
-    return nodes.select("node", "n", "sketch", *columns, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels").select(
-        "tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"), "node", "n", "sketch", *columns
-    )
+def spots(nodes):
+    """The places of each node in the orders, as packed SPOTs, whose bytes sort by label and node. nodes: node, n, labels."""
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                m = np.frombuffer(b"".join(b.column(2).to_pylist()), ">u4").reshape(-1, TREES * DEPTH)
+                out = np.zeros((TREES, len(m)), SPOT)
+                out["tree"] = np.arange(TREES, dtype=np.uint8)[:, None]
+                out["own"] = m.reshape(-1, TREES, DEPTH).swapaxes(0, 1)
+                for level in range(LEVELS - DEPTH):
+                    out["deep"][:, :, level] = (m[:, (np.arange(TREES) * DEPTH + DEPTH + level) % (TREES * DEPTH)] & 0xFFFF).T
+                out["node"] = np.frombuffer(b"".join(b.column(0).to_pylist()), "V16")
+                out["n"] = b.column(1).to_numpy()
+                out["sketch"] = np.packbits((m & 1).astype(np.uint8), axis=1).view(np.uint64)
+                flat = pa.py_buffer(out.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(SPOT.itemsize), out.size, [None, flat]).cast(pa.binary())], ["spot"])
+
+    return nodes.select("node", "n", "labels").mapInArrow(run, "spot binary")
+
+
+def alike(n, m, x, y):
+    """Whether the sizes n and sketch bits m of rows x and y allow the threshold."""
+    return (100 * np.minimum(n[x], n[y]) >= PER_CENT * np.maximum(n[x], n[y])) & (m >= SKETCH_MIN)
 
 
 def neighbours(nodes):
-    """Pairs a < b of neighbours in the sorted orders. nodes: node, n, labels, sketch."""
-    ordered = spots(nodes).repartitionByRange(partitions(nodes.sparkSession), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    """(a, b, est, run, edge): pairs a < b of neighbours in the sorted orders with their sketches' agreement; and, with b null, the spots of nodes that share a label, by run (tree and DEPTH minhashes). edge: the run may go on in another task."""
+    ordered = spots(nodes).repartitionByRange(partitions(nodes.sparkSession), "spot").sortWithinPartitions("spot")
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()]
+
+    def batch(a, b, est, run, edge):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((a, b, est, run, edge), types, strict=True)], ["a", "b", "est", "run", "edge"])
 
     def meet(batches):
-        tail = start = None  # the last WINDOW rows, and the first row of the current label
+        head = tail = np.zeros(0, SPOT)  # the first row of the current run; the last WINDOW rows
+        held = None  # the last row as a spot: whether it shares its label with the one before
         for b in batches:
-            t = pa.Table.from_batches([b])
-            before = [] if tail is None else [start, tail]
-            lo, base = min(len(before), 1), sum(map(len, before))
-            t = pa.concat_tables([*before, t]).combine_chunks()
-            tree, n = t["tree"].to_numpy(), t["n"].to_numpy()
-            label = np.frombuffer(b"".join(t["label"].to_pylist()), ">u4").reshape(-1, DEPTH)
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(t), -1)
-            row = np.arange(base, len(t))
-
-            def shared(w):
-                other = np.maximum(row - w, 0)
-                there = (row - w >= lo) & (tree[other] == tree[row])
-                return np.where(there, np.cumprod(label[other] == label[row], axis=1).sum(1), 0)
+            if not b.num_rows:
+                continue
+            new = np.frombuffer(b"".join(b.column(0).to_pylist()), SPOT)
+            t = np.concatenate([head, tail, new])
+            lo, base = len(head), len(head) + len(tail)
+            row, n = np.arange(base, len(t)), t["n"].astype(np.int64)
+
+            def shared(w, at=row, t=t, lo=lo):
+                other = np.maximum(at - w, 0)
+                there = (at - w >= lo) & (t["tree"][other] == t["tree"][at])
+                same = np.concatenate([t["own"][other] == t["own"][at], t["deep"][other] == t["deep"][at]], axis=1)
+                return np.where(there, np.cumprod(same, axis=1).sum(1), 0)
 
             far, one = shared(WINDOW), shared(1)
-            first = np.maximum.accumulate(np.where(one < DEPTH, row, 0))
-            crowded = far == DEPTH
+            first = np.maximum.accumulate(np.where(one < DEPTH, row, 0))  # 0 is the head
+            crowded = far >= DEPTH
             left, right = [row[crowded], row[crowded]], [row[crowded] - 1, first[crowded]]
             for w in range(1, WINDOW + 1):
-                near = row[shared(w) > far]
+                near = row[(shared(w) > far) & ~crowded]
                 left.append(near)
                 right.append(near - w)
             x, y = np.concatenate(left), np.concatenate(right)
-            fits = 100 * np.minimum(n[x], n[y]) >= PER_CENT * np.maximum(n[x], n[y])
-            fits &= 128 - np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) >= SKETCH_MIN
-            pairs = {(min(p), max(p)) for p in zip(t["node"].take(x[fits]).to_pylist(), t["node"].take(y[fits]).to_pylist(), strict=True) if p[0] != p[1]}
-            p, q = zip(*pairs, strict=True) if pairs else ((), ())
-            if len(row):
-                start, tail = t.slice(int(first[-1]), 1), t.slice(max(lo, len(t) - WINDOW))
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()), pa.array(q, pa.binary())], ["a", "b"])
-
-    return ordered.mapInArrow(meet, "a binary, b binary").distinct()
-
-
-def bucket_pairs(nodes):
-    """Pairs a < b that share a whole label and lie in different components. nodes: node, n, labels, sketch, comp."""
-    places = spots(nodes, "comp").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(4)))
-    mixed = places.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-    mixed = mixed.select("tree", "label", F.ceil(F.col("m") / CELL).alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("salt"))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
-    dealt = places.join(mixed, ["tree", "label", "salt"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.groupBy("tree", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "n", "sketch", "comp", "own")).alias("members"))
-
-    def run(batches):
+            est = 128 - np.bitwise_count(t["sketch"][x] ^ t["sketch"][y]).sum(1, dtype=np.int64)
+            fits = alike(n, est, x, y)
+            ids = t["node"]
+            pairs = {(min(p), max(p)): e for p, q, e in zip(ids[x[fits]].tolist(), ids[y[fits]].tolist(), est[fits].tolist(), strict=True) for p in [(p, q)] if p[0] != p[1]}
+            yield batch([p for p, _ in pairs], [q for _, q in pairs], list(pairs.values()), [None] * len(pairs), [False] * len(pairs))
+            # Rows that share a label with a neighbour; the last one waits for the next batch, and a task's ends always count.
+            back = one >= DEPTH
+            runs = [r[: 1 + 4 * DEPTH] for r in (new.tobytes()[k : k + 1 + 4 * DEPTH] for k in range(0, len(new) * SPOT.itemsize, SPOT.itemsize))]
+            rows = []
+            if held is not None and (held[2] or back[0]):
+                rows.append((held[0], held[1], held[3]))
+            on = back | np.append(back[1:], False)
+            if held is None:
+                on[0] = True
+            rows += [(new["node"][k].tobytes(), runs[k], held is None and k == 0) for k in np.flatnonzero(on[:-1]).tolist()]
+            k = len(new) - 1
+            held = (new["node"][k].tobytes(), runs[k], bool(back[k]), held is None and k == 0)
+            yield batch([r[0] for r in rows], [None] * len(rows), [None] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
+            start = int(first[-1])
+            head, tail = t[start : start + 1].copy(), t[max(lo, len(t) - WINDOW) :].copy()
+        if held is not None:
+            yield batch([held[0]], [None], [None], [held[1]], [True])
+
+    return ordered.mapInArrow(meet, "a binary, b binary, est int, run binary, edge boolean")
+
+
+def bucket(column):
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
+def among(df, column, keys, key):
+    """The rows of df whose column may be one of the keys, by hash buckets: at most BUCKETS integers are broadcast, so what a join then moves is little more than what it needs."""
+    taken = F.broadcast(keys.select(bucket(keys[key]).alias("_bucket")).distinct())
+    return df.join(taken, bucket(df[column]) == F.col("_bucket"), "left_semi")
+
+
+def texts_of_nodes(needed, nodes, docs):
+    """node, packed (the text in Zstandard) of the needed nodes, as a table."""
+    rows = needed.join(nodes.select("node", F.col("_key").alias("_k")), "node")
+    found = among(docs, "_key", rows, "_k").join(rows, F.col("_key") == F.col("_k")).select("node", "_text")
+
+    def pack(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            found = set()
-            for row in b.column(0).to_pylist():
-                bits = np.array([np.frombuffer(x["sketch"], np.uint64) for x in row["members"]])
-                n = np.array([x["n"] for x in row["members"]])
-                comp = np.unique([x["comp"] for x in row["members"]], return_inverse=True)[1]
-                own = np.array([x["own"] for x in row["members"]])
-                node = [x["node"] for x in row["members"]]
-                for k in range(len(node) - 1):
-                    rest = slice(k + 1, None)
-                    fits = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= PER_CENT * np.maximum(n[rest], n[k]))
-                    if row["i"] != row["j"]:
-                        fits &= own[rest] != own[k]
-                    fits &= 128 - np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64) >= SKETCH_MIN
-                    found.update((min(node[k], node[x]), max(node[k], node[x])) for x in (np.flatnonzero(fits) + k + 1).tolist())
-            x, y = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
-
-    return cells.select(F.struct("i", "j", "members").alias("cell")).mapInArrow(run, "a binary, b binary").distinct()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t) for t in texts_of(b.column(1))], pa.binary())], ["node", "packed"])
+
+    return written(found.mapInArrow(pack, "node binary, packed binary").dropDuplicates(["node"]), "texts")
+
+
+def unpacked(column):
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(x) for x in column.to_pylist()]
 
 
 def confirm(pairs, texts, size=SHINGLE):
-    """The pairs whose full sets reach the threshold. texts: node, _text."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "_text": "_ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "_text": "_tb"}), "b").select("a", "b", "_ta", "_tb")
+    """The pairs whose full sets reach the threshold. texts: node, packed."""
+    ends = pairs.select(F.col("a").alias("_e")).union(pairs.select("b"))
+    few = among(texts, "node", ends, "_e")
+    both = pairs.select("a", "b").join(few.withColumnsRenamed({"node": "a", "packed": "_ta"}), "a").join(few.withColumnsRenamed({"node": "b", "packed": "_tb"}), "b").select("a", "b", "_ta", "_tb")
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, 2):
-                left, right = (shingle_sets(texts_of(b.column(c)), size) for c in (2, 3))
+            for b in slices(whole, 2, size=1 << 18):
+                left, right = (shingle_sets(unpacked(b.column(c)), size) for c in (2, 3))
                 keep = []
                 for x, y in zip(left, right, strict=True):
                     meet = len(np.intersect1d(x, y, assume_unique=True))
@@ -158,8 +213,8 @@ def confirm(pairs, texts, size=SHINGLE):
 
 def components(edges):
     """(node, comp) of each node with an edge: comp is the smallest node reachable. Labels spread with pointer jumping; each round is a table."""
-    edges = written(edges, "edges")
-    edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = written(edges, "edges")
+    edges = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         heard = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
@@ -168,47 +223,110 @@ def components(edges):
         now = written(near.join(jump, "comp").select("node", "was", F.least("comp", "further").alias("comp")), "labels")
         done = now.where("was != comp").isEmpty()
         forget(labels)
-        labels = now.select("node", "comp")
         if done:
-            return labels
+            forget(first)
+            return now.select("node", "comp"), now
+        labels = now.select("node", "comp")
+        labels._ontoloom_path = now._ontoloom_path
+
+
+def merged(comps, pairs):
+    """comps (node, comp) after pairs (a, b) have linked components. (The new comps, tables to forget.)"""
+    ends = comps.select("node", "comp")
+    between = pairs.join(ends.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(ends.withColumnsRenamed({"node": "b", "comp": "cb"}), "b").where("ca != cb")
+    further, kept = components(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    out = written(comps.join(further.select(F.col("node").alias("comp"), F.col("comp").alias("_last")), "comp", "left").select("node", F.coalesce("_last", "comp").alias("comp")), "comps")
+    forget(kept)
+    return out
 
 
-def texts_of_nodes(pairs, nodes, docs):
-    """node, _text of the nodes in pairs, as a table."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("_key").alias("_k")), "node")
-    return written(docs.join(needed, docs["_key"] == needed["_k"]).select("node", "_text").dropDuplicates(["node"]), "texts")
+def apart(pairs, comps):
+    """The pairs whose nodes lie in different components."""
+    a, b = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").where("ca != cb").drop("ca", "cb")
+
+
+def similar_pairs(members, texts, size=SHINGLE):
+    """Pairs a < b of different components that an exact similarity join leaves to confirm. members: node, comp."""
+
+    def cut(batches):
+        for whole in batches:
+            for b in slices(whole, 2, size=1 << 18):
+                sets = shingle_sets(unpacked(b.column(2)), size)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "comp", "hashes"])
+
+    sets = written(among(texts, "node", members, "node").join(members, "node").select("node", "comp", "packed").mapInArrow(cut, "node binary, comp binary, hashes array<bigint>"), "sets")
+    every = sets.select("node", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    listed = every.join(shared, "h").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("rare"))
+    # Shingles of one node alone stand before the shared ones; of n, the first n - ceil(0.75 n) + 1 are the prefix.
+    own = F.col("n") - F.size("rare")
+    prefix = F.floor(F.col("n") - F.ceil(F.col("n") * F.lit(PER_CENT) / F.lit(100)) + 1).cast("int")
+    tokens = listed.withColumns({"own": own, "take": prefix - own}).where("take > 0").select("node", "comp", "n", "own", F.posexplode(F.slice("rare", 1, F.col("take"))).alias("i", "x"))
+    tokens = written(tokens.select(F.col("x.h").alias("h"), "node", "comp", "n", (F.col("n") - F.col("own") - F.col("i")).alias("left")), "tokens")
+    mixed = tokens.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("h")
+    some = tokens.join(mixed, "h", "left_semi")
+    x, y = (some.withColumnsRenamed({c: f"{c}_{k}" for c in ("node", "comp", "n", "left")}) for k in "xy")
+    # left: how many shingles stand from the shared one on; the overlap can't be more.
+    fits = "node_x < node_y and comp_x != comp_y and 100 * least(n_x, n_y) >= {0} * greatest(n_x, n_y) and least(left_x, left_y) * (100 + {0}) >= {0} * (n_x + n_y)".format(PER_CENT)
+    return x.join(y, "h").where(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), [sets, tokens]
 
 
 def near_duplicates(df, id_col="doc_id", text_col="text", size=SHINGLE):
-    """id, n_shingles, component_id, kept and _key (xxhash64 of id and text) of each row."""
+    """id, n_shingles, component_id, kept (the id is the component's smallest), _key (of id and text) and _first (of the component's row of smallest id and key) of each row."""
     docs = df.select(df[id_col].alias("_id"), row_key(df[id_col], df[text_col]).alias("_key"), df[text_col].alias("_text"))
     signed = written(sign(docs, size), "signed")
-    nodes = signed.where("node is not null").groupBy("node", F.col("n_shingles").alias("n")).agg(F.min(F.struct("_key", "labels", "sketch")).alias("x"), F.min("_id").alias("least"))
-    nodes = nodes.select("node", "n", "x.*", "least")
-    nodes = written(nodes, "nodes")
-    near = written(neighbours(nodes), "pairs")
-    first = components(confirm(near, texts_of_nodes(near, nodes, docs), size))
-    labelled = nodes.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = written(bucket_pairs(labelled).join(near, ["a", "b"], "left_anti"), "pairs")
-    late = confirm(rest, texts_of_nodes(rest, nodes, docs), size)
-    ends = labelled.select("node", "comp")
-    late = late.join(ends.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(ends.withColumnsRenamed({"node": "b", "comp": "cb"}), "b")
-    second = components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
-    comps = ends.join(second, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
-    named = nodes.select("node", "least").join(comps, "node")
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "comp").select(F.col("node").alias("_n"), "component_id")
-    out = signed.join(by_node, F.col("node") == F.col("_n"), "left")
-    comp = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"), "_key")
+    rank = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("_key", "n_shingles", "labels")).alias("x"), F.min(rank).alias("least"))
+    nodes = written(nodes.select("node", "x._key", F.col("x.n_shingles").alias("n"), "x.labels", "least"), "nodes")
+    met = written(neighbours(nodes), "met")
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.max("est").alias("est"))
+    places = met.where("b is null").select(F.col("a").alias("node"), "run", "edge")
+    crowds = places.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.max("edge").alias("edge")).where(F.col("edge") | (F.col("m") > WINDOW)).select("run")
+    crowded = written(places.join(crowds, "run").select("node", "run").distinct(), "crowded")
+    pairs = written(pairs, "pairs")
+    forget(met)
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    texts = texts_of_nodes(needed, nodes, docs)
+    # The best pair of each node, then all pairs between components.
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
+    best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+    found, kept = components(confirm(best, texts, size))
+    comps = written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
+    forget(kept)
+    second = merged(comps, confirm(written(apart(pairs.join(best, ["a", "b"], "left_anti"), comps), "open"), texts, size))
+    # What crowded runs leave open.
+    spread = crowded.join(second, "node")
+    mixed = spread.groupBy("run").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("run")
+    rest, used = similar_pairs(written(spread.join(mixed, "run", "left_semi").select("node", "comp").distinct(), "members"), texts, size)
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    last = merged(second, confirm(rest, texts, size))
+    forget(*used, rest, pairs, texts, crowded, comps, second)
+    named = nodes.select("node", "least").join(last, "node")
+    least = named.groupBy("comp").agg(F.min("least").alias("least"))
+    by_node = written(named.select("node", "comp").join(least, "comp").select(F.col("node").alias("_n"), "least"), "named")
+    forget(nodes, last)
+    out = signed.select("_id", "_key", "n_shingles", "node").join(by_node, F.col("node") == F.col("_n"), "left")
+    comp = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least.id"))
+    alone = F.col("node").isNull()
+    return out.select(F.col("_id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"), "_key", (alone | F.col("_key").eqNullSafe(F.col("least.key"))).alias("_first"))
 
 
 def deduplicate(df, id_col="doc_id", text_col="text", size=SHINGLE):
-    """df with one row of each component: the one with the smallest id; its own repeats go. Rows without words all stay."""
-    kept = near_duplicates(df, id_col, text_col, size).where("kept").select(F.col("_key").alias("_kk")).distinct()
-    key = row_key(df[id_col], df[text_col])
-    return df.withColumn("_rk", key).join(kept, F.col("_rk") == F.col("_kk")).dropDuplicates(["_rk"]).select(*df.columns)
+    """df with one row of each component: the one with the smallest id; its own repeats go. Rows without words all stay, but for repeats of one.
+
+    Texts stay where they are while the dropped rows are under BROADCAST_ROWS and no row repeats; else rows are dealt by key.
+    """
+    found = written(near_duplicates(df, id_col, text_col, size).select("_key", "_first"), "found")
+    gone = found.where("not _first").select("_key").distinct()
+    twins = not found.where("_first").groupBy("_key").count().where("count > 1").isEmpty()
+    key, other = fresh("_key", df), fresh("_gone", df)
+    keyed, gone = df.withColumn(key, row_key(df[id_col], df[text_col])), gone.select(F.col("_key").alias(other))
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = keyed.join(gone, F.col(key) == F.col(other), "left_anti")
+    return (left.dropDuplicates([key]) if twins else left).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_key", "_first")
