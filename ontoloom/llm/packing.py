@@ -130,7 +130,7 @@ def pieces(df, id_col, text_col, tokenizer, capacity):
         if tokenizer not in _CHUNKS:
             _CHUNKS[tokenizer] = Chunks(tokenizer)
         chunks, task, seen = _CHUNKS[tokenizer], TaskContext.get().partitionId(), defaultdict(int)
-        for b in (x for whole in batches for x in slices(whole, 1, 4096, 4 << 20)):
+        for b in (x for whole in batches for x in slices(whole, 1, 8192, 8 << 20)):
             rows, at = [], []
             every, ends = chunks.encode_all([t or "" for t in b.column(1).to_pylist()])
             for k, ids in enumerate(np.split(every, ends[1:-1])):
