@@ -8,7 +8,7 @@ def test_schema(spark):
     classes = df([("Thing", True), ("Person", False), ("Sex", False)], "name string, is_abstract boolean")
     edges = df([("Person", "Thing")], "child string, parent string")
     found = C.collections(classes, df([("male", "Sex")], "name string, type string"))
-    assert sorted(map(tuple, found.collect())) == [("Person", "persons", "collection"), ("Sex", "sexs", "vocabulary_collection")]
+    assert sorted(map(tuple, found.collect())) == [("Person", "persons", "collection"), ("Sex", "sexes", "vocabulary_collection")]
     rest = df([("Thing", "DataSomeValuesFrom", "age", False, None, None), ("Person", "ObjectMaxCardinality", "hasSex", False, "Sex", 1), ("Thing", "ObjectMinCardinality", "knows", False, "Person", 2)], "subject_class string, restriction_type string, property_name string, inverse boolean, filler string, cardinality int")
     dom = lambda *x: df(list(x), "property string, value string")
     scalar = C.fields(found, edges, dom(("age", "Thing")), dom(("age", "integer")), rest)
