@@ -35,7 +35,7 @@ from ontoloom.llm.textbatch import U, mix, shingle_sets, slices, texts_of
 
 SHINGLE, PER_CENT, TREES, DEPTH, LEVELS, WINDOW, SKETCH_MIN = 5, 75, 32, 4, 8, 8, 92
 #: Texts and keys are sought in tables of this many hash buckets at most, which bounds the broadcast of the buckets.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: A table of no more dropped rows than this (16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 _rng = np.random.Generator(np.random.PCG64(5))
