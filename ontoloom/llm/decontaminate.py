@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ontoloom.llm.common import LOWER, UPPER, table
+from ontoloom.llm.textbatch import slices
 
 ERROR_SHARE, LEAST, MAX_ITEM_BYTES = 20, 20, 8 << 20
 FOLD = str.maketrans(UPPER, LOWER)
@@ -109,7 +110,7 @@ def find_leaks(docs, benchmark, id_col="doc_id", text_col="text", item_col="item
     def over(block):
         def run(batches):
             m = Matcher(block)
-            for b in batches:
+            for b in (x for whole in batches for x in slices(whole, 1)):
                 found = [(k, *x) for k, t in enumerate(b.column(1).to_pylist()) for x in m.find(t)]
                 at, items, d, stop = zip(*found, strict=True) if found else ((),) * 4
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_arrow), pa.array(d, pa.int32()), pa.array(stop, pa.int64())], ["_id", "_item", "distance", "stop"])
@@ -129,7 +130,7 @@ def decontaminate(docs, benchmark, text_col="text", item_col="item_id", item_tex
 
         def run(batches, block=block):
             m = Matcher(block)
-            for b in batches:
+            for b in (x for whole in batches for x in slices(whole, at)):
                 yield b.filter(pa.array([not m.find(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, StructType(docs.schema.fields))

@@ -179,7 +179,7 @@ def texts_of_nodes(needed, nodes, docs):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t) for t in texts_of(b.column(1))], pa.binary())], ["node", "packed"])
 
     return written(found.mapInArrow(pack, "node binary, packed binary").dropDuplicates(["node"]), "texts")

@@ -30,8 +30,10 @@ from ontoloom.llm.common import table, written
 from ontoloom.llm.textbatch import slices
 
 CAPACITY = 2048
-#: Bytes of chunks and ids that a worker keeps (a Python object adds about 100 to each); longer chunks than CHUNK are not kept.
-CACHE, CHUNK = 24 << 20, 256
+#: Bytes of chunks and ids that a worker keeps (Python adds about 200 to each pair); longer chunks than CHUNK are not kept.
+CACHE, CHUNK = 12 << 20, 64
+#: Bits that tell whether a chunk was met before: only those met again are kept.
+MET = 1 << 22
 #: A full stop or comma after a letter at the end of a chunk is a token of its own.
 STOP = re.compile(r"[a-z][.,]\Z")
 #: One cache for each worker process and vocabulary; it lives on from task to task.
@@ -75,7 +77,7 @@ class Chunks:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.size = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.kept, self.size, self.met = Tokenizer.from_file(path), {}, 0, np.zeros(MET, bool)
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word; words are distinct."""
@@ -88,13 +90,18 @@ class Chunks:
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             found.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        size = sum(len(w) + len(x) for w, x in found.items() if len(w) <= CHUNK)
-        if self.size + size > CACHE:
+        marks = np.fromiter(map(hash, found), np.int64, len(found)) & (MET - 1)
+        again = self.met[marks].tolist()
+        self.met[marks] = True
+        for (w, x), known in zip(found.items(), again, strict=True):
+            if known and len(w) <= CHUNK:
+                self.kept[w] = x
+                self.size += len(w) + len(x)
+        if self.size > CACHE:
             self.kept, self.size = {}, 0
-        if size <= CACHE:
-            self.kept.update((w, x) for w, x in found.items() if len(w) <= CHUNK)
-            self.size += size
-        return ids | found
+            self.met[:] = False
+        ids.update(found)
+        return ids
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): the ids of text k and the closing 0 are ids[at[k]:at[k + 1]]."""
@@ -130,7 +137,7 @@ def pieces(df, id_col, text_col, tokenizer, capacity):
         if tokenizer not in _CHUNKS:
             _CHUNKS[tokenizer] = Chunks(tokenizer)
         chunks, task, seen = _CHUNKS[tokenizer], TaskContext.get().partitionId(), defaultdict(int)
-        for b in (x for whole in batches for x in slices(whole, 1, 8192, 8 << 20)):
+        for b in (x for whole in batches for x in slices(whole, 1, 4096, 4 << 20)):
             rows, at = [], []
             every, ends = chunks.encode_all([t or "" for t in b.column(1).to_pylist()])
             for k, ids in enumerate(np.split(every, ends[1:-1])):
