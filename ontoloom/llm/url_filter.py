@@ -60,10 +60,10 @@ def parse_rule(text: str, show: bool = False, fold: bool = True) -> Rule:
     parts = {"*": ".*", "^": r"(?:[^0-9A-Za-z]|\A|\Z)"}
     of = lambda s: "".join(parts.get(c) or re.escape(c.translate(FOLD) if fold else c) for c in s)
     if anchored:
-        host, slash, path = body.partition("/")
-        host = host.translate(FOLD)
-        pattern = rf"\A(?:[^/]*\.)?{of(host)}{'/' if slash else '(?=/|' + chr(92) + 'Z)'}{of(path)}"
-        tokens = _tokens(f"{host}/{path}", False, bool(slash and path))
+        host, rest = re.match("([^/*^]*)(.*)", body, re.DOTALL).groups()
+        end = "" if rest.startswith("*") else r"(?=/|\Z)"
+        pattern = rf"\A(?:[^/]*\.)?{of(host.translate(FOLD))}{end}{of(rest)}"
+        tokens = _tokens(host + rest, False, bool(rest))
     else:
         pattern, tokens = of(body), _tokens(body, True, True)
     return Rule("allow" if allow else "block", body if show else None, pattern, fold, tokens, len(body) + 1_000_000 * show)

@@ -137,22 +137,37 @@ def test_linked_secrets_against_all_pairs():
 
 def test_licenses_against_scan(spark):
     rng = random.Random(1)
-    pool = "under the mit license apache version 2 0 cc by nc 4 licensed released all rights reserved Ünder x".split()
-    texts = [None, "", "UNDER the MIT-License under the mit license"] + [" ".join(rng.choice(pool) + rng.choice(["", ".", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
-    data = list(enumerate(texts)) + [(2, texts[2]), (None, "all rights reserved")]
-    sets = {k: set(t.split()) for k, t in license_scan.TEMPLATES.items()}
-    want = []
-    for k, t in data:
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    pool = "under the mit license apache version 2 0 cc by nc 4 licensed released all rights reserved gnu general public 3 Ünder x".split()
+    texts = [None, "", "UNDER the MIT-License under the mit license"] + [" ".join(rng.choice(pool) + rng.choice(["", ".", "\n"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    wrapped = "This work is licensed under the GNU General\nPublic License version 3"
+    mit = dict(license_scan.TEXTS[:1])["mit"]
+    texts += [wrapped, mit.replace(" ", "\n"), "x " * 3000 + mit.replace("software", "thing", 1) + " y" * 3000, "all " + "z " * 40 + "rights reserved"]
+    data = [(k, t, "clash") for k, t in enumerate(texts)] + [(2, texts[2], "a"), (None, "all rights reserved", "b")]
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    want, seen = [], set()
+    for k, t, _ in data:
+        words = find(t or "")
         places = [(i, v) for p, v in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-        found = {n: max(len(s & set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b))) / len(s) for b in low.split("\n")) for n, s in sets.items()}
-        found = {n: x for n, x in found.items() if x >= 0.8}
-        base = {v for _, v in places}
-        at = [i for i, _ in places]
+        found = {}
+        for label, x in license_scan.TEXTS:
+            own = find(x)
+            size = 2
+            while size < 2 * len(own):
+                size *= 2
+            for i in range(0, len(words), size // 2):
+                share = len(set(words[i : i + size]) & set(own)) / len(set(own))
+                if share >= license_scan.THRESHOLD:
+                    found[label] = max(share, found.get(label, 0))
+        base, at = {v for _, v in places}, [i for i, _ in places]
+        seen |= set(found)
         want.append((k, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), 1.0 if at else max(found.values(), default=0.0)))
-    got = rows(license_scan.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    docs = spark.createDataFrame(data, "doc_id long, text string, label string")
+    got = rows(license_scan.scan_licenses(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert got == sorted(want, key=repr)
+    assert {"gpl-3", "mit", "all-rights-reserved"} <= seen and next(w for w in want if w[0] == len(texts) - 1)[6] == ""
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+    own = license_scan.scan_licenses(docs, templates=spark.createDataFrame([("mine", "x x x"), (None, None)], "label string, text string"))
+    assert own.where("contains(labels, 'mine')").count() >= 1
 
 
 def test_edit_matching(spark):
@@ -175,11 +190,44 @@ def test_edit_matching(spark):
 
 
 def test_warc_round_trip(spark):
-    data = [(1, "http://a", "x" * 10), (2, None, None), (3, "u", "x" * 10), (4, "u", ""), (5, "u", "é" * 300_000), (None, None, "y")]
-    index, folder = warc.archive(spark.createDataFrame(data, "page_id long, url string, html string"))
-    got = rows(warc.read_bundles(index, folder), "_id", "payload_bytes", "record_type", "refers_to")
-    assert got == sorted([(1, 10, "revisit", 3), (2, 0, "revisit", 4), (3, 10, "response", None), (4, 0, "response", None), (5, 600_000, "response", None), (None, 1, "response", None)], key=repr)
-    assert warc.read_seek_table(b"x" + warc.seek_table([(3, 4), (5, 6)])) == [(3, 4), (5, 6)]
+    import base64
+
+    data = [(1, "http://a", "x" * 10), (2, None, None), (3, "u", "x" * 10), (3, "u", "x" * 10), (4, "u", ""), (5, "u\r\nv", "é" * 300_000), (None, None, "y"), (6, "u", "z" * 3_000_000)]
+    best = {}
+    for i, _, p in data:
+        best[p or ""] = max((x for x in (i, best.get(p or "")) if x is not None), default=None)
+    many = {p: sum((q or "") == p for _, _, q in data) for p in best}
+    want = []
+    for i, _, p in data:
+        raw = (p or "").encode()
+        revisit = many[p or ""] > 1 and i != best[p or ""]
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", best[p or ""] if revisit else None))
+    pages = spark.createDataFrame([(*r, "q", 1, 2) for r in data], "page_id long, url string, html string, _record string, _id int, _digest int")
+    index, folder = warc.archive(pages)
+    got = rows(warc.read_bundles(index, folder), "_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert got == sorted(want, key=repr)
+    names = [r["_record"] for r in index.collect()]
+    assert len(set(names)) == len(names) == len(data)
+    one = index.where("_page = '6'").select("_record")
+    found = warc.lookup(index, folder, one).collect()
+    assert len(found) == 1 and bytes(found[0]["payload"]) == b"z" * 3_000_000 and found[0]["headers"]["WARC-Type"] == "response"
+    assert warc.lookup(index, folder, one.limit(0)).count() == 0 and warc.archive(pages.limit(0))[0].count() == 0
+    odd = spark.createDataFrame([("", "u", "a"), ("a b%/é", "u", "a"), (None, "u", "c")], "page_id string, url string, html string")
+    assert rows(warc.read_bundles(*warc.archive(odd), "string"), "_id", "refers_to") == sorted([("", "a b%/é"), ("a b%/é", None), (None, None)], key=repr)
+
+
+def test_seek_table_finds_frames(tmp_path):
+    import io
+
+    import zstandard
+
+    press, data = zstandard.ZstdCompressor(), [b"a" * 1000, b"b" * 5, b""]
+    frames = [press.compress(d) for d in data]
+    raw = b"".join(frames) + warc.seek_table([(len(f), len(d)) for f, d in zip(frames, data, strict=True)])
+    table = warc.read_seek_table(io.BytesIO(raw), len(raw))
+    assert [zstandard.ZstdDecompressor().decompress(raw[a : a + n], max_output_size=2000) for a, n in table] == data
+    with pytest.raises(ValueError):
+        warc.read_seek_table(io.BytesIO(b"x" * 50), 50)
 
 
 def test_packing(spark, docs):
@@ -233,13 +281,36 @@ def test_packing_of_texts_that_are_not_folded_at_once():
 
 def test_url_filter_against_all_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/en/12?x", "https://a.example.org/es/x", "http://org/", "http://org", "http://b.com/fr/#z", "http://b.com/de/", "http://m.free-bets.example.com/x", "x://notexample.org/en/1", "http://xorg/"]
-    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
-    for k, u in enumerate(urls):
-        host, path = url_filter.split_url(u)
-        fits = [r for r in url_filter.RULES if re.search(r.pattern, f"{host} {path}", re.S)]
-        best = max(fits, key=lambda r: r.rank, default=None)
-        assert (got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == (host, path, best and best.name, best.verdict if best else "allow")
-    assert got[3]["rule"] == "example.org/en/1" and got[6]["rule"] is None and got[9]["verdict"] == "block" and got[10]["rule"] == "org/"
+    urls += ["http://a b.org/", "http://a\nb.org/x", "http://.org/", "http://x.net/CASINO/1", "http://casinos2.net/", "http://casino.org/", "http://example.org/EN/1", "http://org/" + "a" * 100_000, "http://é.com/fr/", "http://Example.ORG/en/12?x"]
+
+    def judge(url):
+        host, path = url_filter.split_url(url)
+        fits = [(len(a), v, a) for v, a in url_filter.ADDRESSES for h, p in [a.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        if fits:
+            return host, path, max(fits)[2], max(fits)[1]
+        spam = set(re.findall("[0-9a-z]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in host + path))) & set(url_filter.SPAM_WORDS)
+        return host, path, None, "block" if spam else "allow"
+
+    pages = spark.createDataFrame([(k, u, "r", "v") for k, u in enumerate(urls)] + [(1, "http://org/", "r", "v")], "page_id long, url string, rule string, host string")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages).collect()), key=repr)
+    assert got == sorted([(k, *judge(u)) for k, u in enumerate(urls)] + [(1, *judge("http://org/"))], key=repr)
+    by = {g[0]: g for g in got}
+    assert by[3][3] == "example.org/en/1" and by[6][3] is None and by[9][4] == "block" and by[10][3] == "org/" and by[12][3] == "org/" and by[15][4] == "block" and by[17][4] == "allow"
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_url_rules():
+    fits = lambda rule, host, path: bool(re.search(url_filter.parse_rule(rule).pattern, (host + path).lower(), re.S))
+    assert fits("||ads.com^", "ads.com", "/x") and fits("||ads.com^", "a.ads.com", "") and not fits("||ads.com^", "bads.com", "/") and not fits("||ads.com^", "ads.com.net", "/")
+    assert fits("||x.com/a*z^", "x.com", "/abcz/") and not fits("||x.com/a*z^", "x.com", "/abczz") and fits("/banner/*/img", "h", "/q/banner/1/img") and fits("^pills^", "cheap-pills.com", "/")
+    assert url_filter.parse_rule("@@||x.com/ab").verdict == "allow" and url_filter.parse_rule("||x.com/ab/cd").tokens == ("x", "com", "ab") and url_filter.parse_rule("ab-cd-ef").tokens == ("cd",)
+    index = url_filter.RuleIndex([url_filter.parse_rule("||a.com/x/"), url_filter.parse_rule("||b.com/x/")], {"com": 99, "x": 50, "a": 1, "b": 2})
+    assert set(index.by_token) == {"a", "b"} and index.judge("a.com", "/x/y")[1:] == (1, 1) and index.judge("c.com", "/x/")[1:] == (0, 0)
+
+
+def test_url_rules_from_a_table(spark):
+    lines = spark.createDataFrame([("! comment",), (None,), (" ||a.com^ ",), ("||a.com^",), ("",)], "rule string")
+    assert [r.pattern for r in url_filter.read_rules(lines)] == [url_filter.parse_rule("||a.com^").pattern]
 
 
 def test_quality_held_out(spark):
