@@ -14,10 +14,9 @@ in the order of their tasks; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,12 @@ from ontoloom.llm.common import table, written
 from ontoloom.llm.textbatch import slices
 
 CAPACITY = 2048
-#: Bytes of chunks and ids that a worker keeps (Python adds about 200 to each pair); longer chunks than CHUNK are not kept.
-CACHE, CHUNK = 12 << 20, 64
+#: Bytes of chunks and ids that a worker keeps; longer chunks than CHUNK are not kept.
+CACHE, CHUNK = 24 << 20, 64
 #: Bits that tell whether a chunk was met before: only those met again are kept.
 MET = 1 << 22
 #: A full stop or comma after a letter at the end of a chunk is a token of its own.
-STOP = re.compile(r"[a-z][.,]\Z")
+STOP = r"[a-z][.,]\z"
 #: One cache for each worker process and vocabulary; it lives on from task to task.
 _CHUNKS: dict[str, Chunks] = {}
 
@@ -77,31 +76,44 @@ class Chunks:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.size, self.met = Tokenizer.from_file(path), {}, 0, np.zeros(MET, bool)
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word; words are distinct."""
-        ids = {w: x for w in words if (x := self.kept.get(w)) is not None}
-        new = [w for w in words if w not in ids]
-        plain = lambda w: w.isascii() and w.isalpha() and w.islower()  # noqa: E731  nothing splits or changes these before the model
-        tokenize = self.tokenizer.model.tokenize
-        found = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in new if plain(w)}
-        rest = [w for w in new if not plain(w)]
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            found.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        marks = np.fromiter(map(hash, found), np.int64, len(found)) & (MET - 1)
-        again = self.met[marks].tolist()
+        self.tokenizer, self.met = Tokenizer.from_file(path), np.zeros(MET, bool)
+        (self.dot,), (self.comma,) = (self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,")
+        self.drop()
+
+    def drop(self) -> None:
+        """Empties the cache: words, and for each its number of ids and where they begin in ids."""
+        self.words, self.size = pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self.ids, self.met[:] = np.zeros(0, np.uint32), False
+
+    def tokens(self, words: pa.Array) -> list[list[int]]:
+        """The ids of each word."""
+        plain = pc.match_substring_regex(words, "^[a-z]+$").to_pylist()  # nothing splits or changes these before the model
+        tokenize, out = self.tokenizer.model.tokenize, words.to_pylist()
+        rest = [w for w, p in zip(out, plain, strict=True) if not p]
+        coded = iter([e.ids for k in range(0, len(rest), 4096) for e in self.tokenizer.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)])
+        return [[t.id for t in tokenize(w)] if p else next(coded) for w, p in zip(out, plain, strict=True)]
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, size, ids): the ids of distinct word k are ids[first[k] : first[k] + size[k]]."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        found = self.tokens(new)
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        fresh = np.fromiter(chain.from_iterable(found), np.uint32, many.sum())
+        ids = np.concatenate([self.ids, fresh])
+        place = np.asarray(at.fill_null(0)).astype(np.int64)
+        place[np.asarray(at.is_null())] = len(self.words) + np.arange(len(new))
+        size = np.concatenate([self.size, many])
+        first = np.cumsum(size) - size
+        marks = np.fromiter(map(hash, new.to_pylist()), np.int64, len(new)) & (MET - 1)
+        again = self.met[marks] & (np.asarray(pc.binary_length(new)) <= CHUNK)
         self.met[marks] = True
-        for (w, x), known in zip(found.items(), again, strict=True):
-            if known and len(w) <= CHUNK:
-                self.kept[w] = x
-                self.size += len(w) + len(x)
-        if self.size > CACHE:
-            self.kept, self.size = {}, 0
-            self.met[:] = False
-        ids.update(found)
-        return ids
+        self.words = pa.concat_arrays([self.words, new.filter(pa.array(again))])
+        self.size = np.concatenate([self.size, many[again]])
+        self.ids = np.concatenate([self.ids, fresh[np.repeat(again, many)]])
+        if self.words.nbytes + self.ids.nbytes + self.size.nbytes > CACHE:
+            self.drop()
+        return first[place], size[place], ids
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): the ids of text k and the closing 0 are ids[at[k]:at[k + 1]]."""
@@ -110,17 +122,20 @@ class Chunks:
         spaced = pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in folded], pa.large_string())
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        stems = [w[:-1] if STOP.search(w) else w for w in words]
-        known = self.learn(list(dict.fromkeys([*stems, ".", ","])))
-        of = [known[w] if w is s else known[s] + known[w[-1]] for w, s in zip(words, stems, strict=True)]
-        size = np.array([len(x) // 4 for x in of], dtype=np.int64)
-        ids, first = np.frombuffer(b"".join(of), dtype="<u4"), np.cumsum(size) - size
-        code = coded.indices.to_numpy()
-        size = size[code]
-        done = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat(first[code] - done[:-1], size) + np.arange(done[-1])]
-        ends = done[split.offsets.to_numpy()[1:]]
+        words = coded.dictionary
+        stop = pc.match_substring_regex(words, STOP)
+        stems = pc.if_else(stop, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        first, size, ids = self.learn(stems.dictionary)
+        stem, stop = np.asarray(stems.indices), np.asarray(stop)
+        first, size = first[stem], size[stem] + stop
+        last = np.where(np.asarray(pc.ends_with(words, ".")), self.dot, self.comma)
+        code = np.asarray(coded.indices)
+        each = size[code]
+        done = np.concatenate([[0], np.cumsum(each)])
+        flat = np.append(ids, np.uint32(0)).take(np.repeat(first[code] - done[:-1], each) + np.arange(done[-1]), mode="clip")
+        closing = stop[code]
+        flat[done[1:][closing] - 1] = last[code[closing]]
+        ends = done[np.asarray(split.offsets)[1:]]
         return np.insert(flat, ends, 0), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
 
     def encode(self, text: str) -> np.ndarray:
