@@ -75,10 +75,10 @@ def effective_class(given: Column, stored: Column, first: Column) -> Column:
     return F.coalesce(given, stored, first)
 
 
-def update_issues(requests: DataFrame, stored: DataFrame, collections: DataFrame, edges: DataFrame) -> DataFrame:
-    """(request, code, field): what speaks against the updates before documents are merged. stored: collection, _id, payload; collections: collection, class."""
+def update_issues(requests: DataFrame, stored: DataFrame, collections: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """(request, code, field): what speaks against the updates before documents are merged. stored: collection, _id, payload; collections: collection, class; above: the closure of edges, if it is at hand."""
     first = collections.groupBy("collection").agg(F.min("class").alias("_first"))
-    up = closure(edges).select("child", "parent").distinct()
+    up = (closure(edges) if above is None else above).select("child", "parent").distinct()
     rows = requests.join(first, "collection", "left")
     rows = rows.join(stored.select(F.col("collection").alias("_sc"), F.col("_id").alias("_sid"), F.col("payload").alias("_old")), (F.col("collection") == F.col("_sc")) & (F.lower("_id") == F.col("_sid")), "left")
     old, new = parsed(F.col("_old")), parsed(F.col("patch"))
@@ -104,9 +104,9 @@ def update_issues(requests: DataFrame, stored: DataFrame, collections: DataFrame
     return rows.select("request", F.explode(listed).alias("i")).select("request", "i.code", "i.field").distinct()
 
 
-def plan_updates(requests: DataFrame, stored: DataFrame, collections: DataFrame, edges: DataFrame, classes: DataFrame, constraints: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+def plan_updates(requests: DataFrame, stored: DataFrame, collections: DataFrame, edges: DataFrame, classes: DataFrame, constraints: DataFrame, now: str, above: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, issues): (request, collection, _id, payload) of updates that nothing speaks against, merged and stamped, and (request, code, field) of the others."""
-    early = update_issues(requests, stored, collections, edges)
+    early = update_issues(requests, stored, collections, edges, above)
     sound = requests.join(early.select("request").distinct(), "request", "left_anti")
     first = collections.groupBy("collection").agg(F.min("class").alias("_first"))
     met = sound.join(stored.select(F.col("collection").alias("_sc"), F.col("_id").alias("_sid"), F.col("payload").alias("_old")), (F.col("collection") == F.col("_sc")) & (F.lower("_id") == F.col("_sid"))).join(first, "collection")

@@ -24,7 +24,7 @@ CODES = {
 }
 
 
-def route(requests: DataFrame, classes: DataFrame, edges: DataFrame, unions: DataFrame, found: DataFrame, layer: str = "class", allow_vocabulary: bool = False) -> DataFrame:
+def route(requests: DataFrame, classes: DataFrame, edges: DataFrame, unions: DataFrame, found: DataFrame, layer: str = "class", allow_vocabulary: bool = False, above: DataFrame | None = None) -> DataFrame:
     """requests with final_class, collection, level and code: the class that a request comes down to, or why it doesn't.
 
     A union needs a subtype among its members, any other class one below it; abstract classes and such without a collection
@@ -33,7 +33,7 @@ def route(requests: DataFrame, classes: DataFrame, edges: DataFrame, unions: Dat
     names = CODES[layer]
     one = lambda c, prefix: classes.select(F.col("name").alias(c), F.col("is_abstract").alias(f"_{prefix}abstract")).distinct()
     members_of = unions.groupBy("class_name").agg(F.max_by("operands", F.size("operands")).alias("_members")).withColumnRenamed("class_name", "class")
-    below = closure(edges).select(F.col("parent").alias("class"), F.col("child").alias("subtype")).distinct().withColumn("_below", F.lit(True))
+    below = (closure(edges) if above is None else above).select(F.col("parent").alias("class"), F.col("child").alias("subtype")).distinct().withColumn("_below", F.lit(True))
     met = requests.join(one("class", "c"), "class", "left").join(members_of, "class", "left").join(one("subtype", "s"), "subtype", "left").join(below, ["class", "subtype"], "left")
     union, asked = F.size(F.coalesce("_members", F.array().cast("array<string>"))) > 0, F.col("subtype").isNotNull() & (F.col("subtype") != F.col("class"))
     error = (
@@ -104,10 +104,10 @@ def object_issues(routed: DataFrame, constraints: DataFrame, targets: DataFrame
     return reduce(DataFrame.unionByName, out)
 
 
-def overlap_warnings(routed: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+def overlap_warnings(routed: DataFrame, edges: DataFrame, groups: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Warnings where a final class and its ancestors hold two classes of a disjoint group."""
     own = routed.where("final_class is not null").select("doc_id", F.col("final_class").alias("type"))
-    up = own.unionByName(own.join(closure(edges).select(F.col("child").alias("type"), "parent"), "type").select("doc_id", F.col("parent").alias("type"))).distinct()
+    up = own.unionByName(own.join((closure(edges) if above is None else above).select(F.col("child").alias("type"), "parent"), "type").select("doc_id", F.col("parent").alias("type"))).distinct()
     hits = up.join(groups.select(F.xxhash64("class_names").alias("_g"), F.explode("class_names").alias("type")), "type").groupBy("doc_id", "_g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return _rows(hits.select("doc_id").distinct(), "warning", "possible_disjoint_type_overlap", None)
 
@@ -124,10 +124,11 @@ def identity_warnings(routed: DataFrame, documents: DataFrame) -> DataFrame:
     return _rows(own.join(other, "_id").where("_c != collection").select("doc_id").distinct().withColumn("field", F.lit("_id")), "warning", "individual_id_seen_in_other_collection")
 
 
-def check_creation(requests, classes, edges, unions, found, constraints, groups, targets=None, documents=None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def check_creation(requests, classes, edges, unions, found, constraints, groups, targets=None, documents=None, strict: bool = True, above: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(routed, issues): all layers over all requests. issues: source, doc_id, level, code, field; a layer that ends in another class or collection than the class layer is an error of its own."""
-    routed = {layer: route(requests, classes, edges, unions, found, layer) for layer in LAYERS}
-    parts = [("class", routed["class"].where("code is not null").select("doc_id", "level", "code", F.lit(None).cast("string").alias("field"))), ("class", overlap_warnings(routed["class"], edges, groups))]
+    above = closure(edges) if above is None else above
+    routed = {layer: route(requests, classes, edges, unions, found, layer, above=above) for layer in LAYERS}
+    parts = [("class", routed["class"].where("code is not null").select("doc_id", "level", "code", F.lit(None).cast("string").alias("field"))), ("class", overlap_warnings(routed["class"], edges, groups, above))]
     parts += [("data", data_issues(routed["data"], constraints, strict)), ("object", object_issues(routed["object"], constraints, targets, documents))]
     if documents is not None:
         parts += [("instance", deployment_issues(routed["class"], documents.select("collection"))), ("instance", identity_warnings(routed["class"], documents))]

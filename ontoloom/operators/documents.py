@@ -104,6 +104,29 @@ def identity(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("_id", "_ontology_type", "name", "iri")])
 
 
+def has_path(schema: StructType, path: str) -> bool:
+    """Whether documents of the schema have a field at the dotted path."""
+    return _kind(path, schema) is not None
+
+
+def get_path(schema: StructType, path: str) -> Column:
+    """The field at the dotted path; null where the schema has none."""
+    return F.col(path) if has_path(schema, path) else F.lit(None)
+
+
+def set_path(docs: DataFrame, path: str, value: Column) -> DataFrame:
+    """docs with the value at the dotted path; the structs on the way are there already or become structs of that field alone."""
+    head, _, rest = path.partition(".")
+    if not rest:
+        return docs.withColumn(head, value)
+    if head in docs.columns and has_path(docs.schema, path.rpartition(".")[0]):
+        base = F.when(F.col(head).isNull(), F.lit(None).cast(docs.schema[head].dataType)).otherwise(F.col(head))
+        return docs.withColumn(head, base.withField(rest, value))
+    for part in reversed(rest.split(".")):
+        value = F.struct(value.alias(part))
+    return docs.withColumn(head, value)
+
+
 def flatten_paths(docs: DataFrame) -> DataFrame:
     """One column for each leaf, named by its dotted path."""
 

@@ -17,6 +17,8 @@ from ontoloom.operators.graph import closure
 
 #: Members that every payload may have.
 SYSTEM = ["_id", "_ontology_type", "metadata", "_import_diagnostics"]
+#: Members that loaded documents have whatever their class; they are checked where the class has rules for them.
+IDENTITY = ["name", "iri", "label"]
 NO_ISSUES = "array<struct<code:string,field:string,detail:string>>"
 
 
@@ -115,7 +117,7 @@ def issue_arrays(payloads: DataFrame, classes: DataFrame, constraints: DataFrame
     def of(e):
         rule = F.element_at(F.col("_by"), e["key"])
         checked = F.when(rule["kind"] == "reference", _reference(e, rule)).otherwise(_scalar(e, rule))
-        return F.when(rule.isNull(), F.array(issue("unknown_field", e["key"]))).when(is_empty(e["value"]), F.array().cast(NO_ISSUES)).otherwise(checked)
+        return F.when(rule.isNull() & ~e["key"].isin(IDENTITY), F.array(issue("unknown_field", e["key"]))).when(rule.isNull(), F.array().cast(NO_ISSUES)).when(is_empty(e["value"]), F.array().cast(NO_ISSUES)).otherwise(checked)
 
     lost = F.transform(F.filter("_rules", lambda r: r["required"] & is_empty(F.element_at(F.col("members"), r["field"]))), lambda r: issue("missing_required_field", r["field"]))
     met = met.withColumn("_by", rule_of)
@@ -170,15 +172,15 @@ def unresolved_targets(ids: DataFrame, targets: DataFrame) -> DataFrame:
     return _issue(ids.select("doc_id", "class", "field").distinct().join(targets.select("class", "field").distinct(), ["class", "field"], "left_anti"), "unresolved_target_collection")
 
 
-def incompatible_targets(ids: DataFrame, allowed: DataFrame, documents: DataFrame, edges: DataFrame) -> DataFrame:
-    """Issues of references to documents whose type is no allowed class nor below one. allowed: class, field, type; documents: _id, _ontology_type."""
-    below = closure(edges).select(F.col("child").alias("_actual"), F.col("parent").alias("type"))
+def incompatible_targets(ids: DataFrame, allowed: DataFrame, documents: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """Issues of references to documents whose type is no allowed class nor below one. allowed: class, field, type; documents: _id, _ontology_type; above: the closure of edges, if it is at hand."""
+    below = (closure(edges) if above is None else above).select(F.col("child").alias("_actual"), F.col("parent").alias("type"))
     fine = allowed.select("class", "field", F.col("type").alias("_actual")).unionByName(allowed.join(below, "type").select("class", "field", "_actual")).distinct()
     met = ids.join(allowed.select("class", "field").distinct(), ["class", "field"], "left_semi").join(documents.select(F.col("_id").alias("target"), F.col("_ontology_type").alias("_actual")), "target")
     return _issue(met.join(fine, ["class", "field", "_actual"], "left_anti"), "reference_target_type_mismatch").distinct()
 
 
-def validate_create(payloads, classes, constraints, targets=None, allowed=None, documents=None, edges=None, unions=None) -> DataFrame:
+def validate_create(payloads, classes, constraints, targets=None, allowed=None, documents=None, edges=None, unions=None, above=None) -> DataFrame:
     """(doc_id, code, field): everything that speaks against creating the documents. targets: class, field, collection; allowed: class, field, type; documents: collection, _id, _ontology_type. Without documents, no check of stored ones."""
     out = [validate(payloads, classes, constraints, unions), system_issues(payloads)]
     if documents is not None:
@@ -186,7 +188,7 @@ def validate_create(payloads, classes, constraints, targets=None, allowed=None,
         missing = missing_targets(ids, targets, documents)
         out += [missing.where("code != 'missing_reference_target'"), missing.where("code = 'missing_reference_target'").withColumn("code", F.lit("reference_target_missing")), unresolved_targets(ids, targets)]
         if allowed is not None:
-            out.append(incompatible_targets(ids, allowed, documents, edges))
+            out.append(incompatible_targets(ids, allowed, documents, edges, above))
         own = payloads.select("doc_id", F.lower(text_of(F.element_at(parsed(F.col("payload")), "_id"))).alias("_id")).where("_id is not null")
         out.append(own.join(documents.select("_id").distinct(), "_id", "left_semi").select("doc_id", F.lit("duplicate_object_id").alias("code"), F.lit("_id").alias("field")))
     return reduce(DataFrame.unionByName, out)

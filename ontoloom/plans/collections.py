@@ -35,20 +35,21 @@ def collections(classes: DataFrame, individuals: DataFrame) -> DataFrame:
     return classes.where("not is_abstract").join(used, "name", "left").select(F.col("name").alias("class"), collection_name(F.col("name")).alias("collection"), kind.alias("kind"))
 
 
-def _inherited(concrete: DataFrame, edges: DataFrame, facts: DataFrame, on: str) -> DataFrame:
-    """facts about classes, copied to each concrete class below; depth is 0 for the class itself. What is said of owl:Thing holds for all."""
+def _inherited(concrete: DataFrame, edges: DataFrame, facts: DataFrame, on: str, above: DataFrame) -> DataFrame:
+    """facts about classes, copied to each concrete class below; depth is 0 for the class itself. What is said of owl:Thing holds for all. above: the closure of edges."""
     up = concrete.select("class", F.col("class").alias("_c"), F.lit(0).alias("depth"))
-    up = up.unionByName(closure(edges).where("child != parent").select(F.col("child").alias("class"), F.col("parent").alias("_c"), "depth").join(concrete.select("class"), "class", "left_semi"))
+    up = up.unionByName(above.where("child != parent").select(F.col("child").alias("class"), F.col("parent").alias("_c"), "depth").join(concrete.select("class"), "class", "left_semi"))
     # A class of one's own may be called Thing too; then it has children. Facts about owl:Thing times classes: both are short catalogue tables.
     every = facts.where(F.col(on).isin(THING)).join(edges.select(F.col("parent").alias(on)), on, "left_anti").crossJoin(concrete.select("class")).withColumn("depth", F.lit(1 << 20))
     return up.join(facts, F.col("_c") == F.col(on)).drop("_c").unionByName(every.select("class", "depth", *facts.columns))
 
 
-def fields(found: DataFrame, edges: DataFrame, domains: DataFrame, ranges: DataFrame, restrictions: DataFrame) -> DataFrame:
-    """(class, property, field, bson_type, required): data properties of a class and its ancestors; the first by property and domain wins."""
+def fields(found: DataFrame, edges: DataFrame, domains: DataFrame, ranges: DataFrame, restrictions: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """(class, property, field, bson_type, required): data properties of a class and its ancestors; the first by property and domain wins. above: the closure of edges, if it is at hand (in all functions here)."""
+    above = closure(edges) if above is None else above
     first_range = ranges.groupBy("property").agg(F.min("value").alias("range"))
-    own = _inherited(found, edges, domains.select("property", F.col("value").alias("domain")), "domain").join(first_range, "property", "left")
-    need = _inherited(found, edges, restrictions.where("restriction_type = 'DataSomeValuesFrom' and not inverse").select(F.col("subject_class"), F.col("property_name").alias("property")), "subject_class").select("class", "property", F.lit(True).alias("_need")).distinct()
+    own = _inherited(found, edges, domains.select("property", F.col("value").alias("domain")), "domain", above).join(first_range, "property", "left")
+    need = _inherited(found, edges, restrictions.where("restriction_type = 'DataSomeValuesFrom' and not inverse").select(F.col("subject_class"), F.col("property_name").alias("property")), "subject_class", above).select("class", "property", F.lit(True).alias("_need")).distinct()
     one = own.withColumn("field", snake_case(F.col("property"))).withColumn("_n", F.row_number().over(Window.partitionBy("class", "field").orderBy("property", "domain"))).where("_n = 1")
     return one.join(need, ["class", "property"], "left").select("class", "property", "field", bson_type(F.coalesce("range", F.lit(""))).alias("bson_type"), F.coalesce("_need", F.lit(False)).alias("required"))
 
@@ -89,15 +90,16 @@ def later_cardinalities(axioms: DataFrame) -> DataFrame:
     return axioms.groupBy("domain", "property", "inverse").agg(last(low).alias("min_items"), last(high).alias("max_items"))
 
 
-def references(found: DataFrame, edges: DataFrame, domains: DataFrame, ranges: DataFrame, restrictions: DataFrame, functional: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+def references(found: DataFrame, edges: DataFrame, domains: DataFrame, ranges: DataFrame, restrictions: DataFrame, functional: DataFrame, policies: DataFrame | None = None, above: DataFrame | None = None) -> DataFrame:
     """(class, property, field, is_array, min_items, max_items, targets, on_delete).
 
     Bounds are merged over the class and its ancestors; a reference is single when its maximum is 1 or the property
     functional. Targets are the fillers of the restrictions, else the ranges. Policy: the one that policies (property,
     policy) state, else restrict where required, pull for arrays and unset for the rest.
     """
-    own = _inherited(found, edges, domains.select("property", F.col("value").alias("domain")), "domain").select("class", "property").distinct()
-    bounds = merge_bounds(_inherited(found, edges, bound_rules(restrictions).where("not inverse"), "subject_class").select("class", "property", "lo", "hi", "filler"))
+    above = closure(edges) if above is None else above
+    own = _inherited(found, edges, domains.select("property", F.col("value").alias("domain")), "domain", above).select("class", "property").distinct()
+    bounds = merge_bounds(_inherited(found, edges, bound_rules(restrictions).where("not inverse"), "subject_class", above).select("class", "property", "lo", "hi", "filler"))
     said = ranges.groupBy("property").agg(F.array_sort(F.collect_set("value")).alias("_ranges"))
     joined = own.join(bounds, ["class", "property"], "left").join(said, "property", "left").join(functional.select("property", F.lit(True).alias("_f")).distinct(), "property", "left")
     if policies is None:
@@ -120,9 +122,9 @@ def explicit_policies(annotations: DataFrame) -> DataFrame:
     return annotations.where(F.col("property").isin(names)).groupBy(F.col("subject").alias("property")).agg(F.min_by(F.lower(F.trim("value")), rank).alias("policy"))
 
 
-def reverse_references(found: DataFrame, edges: DataFrame, domains: DataFrame, restrictions: DataFrame) -> DataFrame:
+def reverse_references(found: DataFrame, edges: DataFrame, domains: DataFrame, restrictions: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Like references(): what restrictions over the inverse of a property add to a class and its concrete descendants. They point to the property's domains."""
-    bounds = merge_bounds(_inherited(found, edges, bound_rules(restrictions).where("inverse"), "subject_class").select("class", "property", "lo", "hi", "filler"))
+    bounds = merge_bounds(_inherited(found, edges, bound_rules(restrictions).where("inverse"), "subject_class", closure(edges) if above is None else above).select("class", "property", "lo", "hi", "filler"))
     said = domains.groupBy("property").agg(F.array_sort(F.collect_set("value")).alias("targets"))
     array = ~F.coalesce(F.col("max_items") == 1, F.lit(False))
     return bounds.join(said, "property").select(
@@ -165,7 +167,7 @@ def disjoint_constraints(found: DataFrame, groups: DataFrame) -> DataFrame:
 
 def service_rules(found: DataFrame, edges: DataFrame, classes: DataFrame, refs: DataFrame, restrictions: DataFrame) -> DataFrame:
     """(class, rule): what schemas can't state. Only-restrictions, forward or inverse; bounds over inverses; references whose target is abstract."""
-    near = _inherited(found, edges, restrictions.select("subject_class", F.col("property_name").alias("property"), "restriction_type", "inverse", "filler", "cardinality"), "subject_class")
+    near = _inherited(found, edges, restrictions.select("subject_class", F.col("property_name").alias("property"), "restriction_type", "inverse", "filler", "cardinality"), "subject_class", closure(edges))
     side = F.when(F.col("inverse"), F.concat(F.lit("inverse of "), "property")).otherwise(F.col("property"))
     only = near.where("restriction_type like '%AllValuesFrom'").select("class", F.format_string("%s only %s", side, "filler").alias("rule"))
     count = near.where("inverse and cardinality is not null").select("class", F.format_string("%s %s %d", side, F.lower(F.regexp_extract("restriction_type", "(Min|Max|Exact)", 1)), "cardinality").alias("rule"))

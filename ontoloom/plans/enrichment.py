@@ -11,8 +11,8 @@ from ontoloom.functions.casts import xsd_type
 from ontoloom.functions.names import local_name
 from ontoloom.plans.blueprint import Blueprint
 
-#: Ranges that two properties have in instances, whatever the schema says.
-RANGE_OVERRIDES = {"hasApperanceOcclusionModel": "ApperanceOcclusionModel", "hasAppearanceOcclusionModel": "ApperanceOcclusionModel"}
+#: Classes of what two properties without a declared range point to outside the ontology.
+RANGE_OVERRIDES = {"hasMoustacheValue": "ImportedAppearanceValue", "hasBeardValue": "ImportedAppearanceValue"}
 DROPPED_TYPES = ["NamedIndividual"]
 
 
@@ -34,13 +34,13 @@ def new_literals(bp: Blueprint, instances: Blueprint) -> tuple[DataFrame, DataFr
 
 
 def target_types(bp: Blueprint, instances: Blueprint, overrides: dict[str, str] = RANGE_OVERRIDES) -> DataFrame:
-    """(name, type): the types that a resource target may have: those it asserts itself, else those the override or the property's ranges state; an abstract range stands for a class Imported<Range> below it."""
+    """(name, type): the types that a resource target may have: those it asserts itself, else the property's ranges, else the override; an abstract range stands for a class Imported<Range> below it."""
     targets = instances.object_assertions.select(F.col("target").alias("name"), "property").distinct()
     own = asserted(instances).select("name", "type")
     spark = bp.classes.sparkSession
     fixed = spark.createDataFrame(list(overrides.items()) or [("", "")], "property string, _fixed string")
     lost = targets.join(own.select("name"), "name", "left_anti").join(bp.ranges.select("property", F.col("value").alias("_range")), "property", "left").join(F.broadcast(fixed), "property", "left")
-    said = lost.select("name", F.coalesce("_fixed", "_range").alias("type")).where("type is not null").join(bp.classes.select(F.col("name").alias("type"), "is_abstract"), "type", "left")
+    said = lost.select("name", F.coalesce("_range", "_fixed").alias("type")).where("type is not null").join(bp.classes.select(F.col("name").alias("type"), "is_abstract"), "type", "left")
     return targets.select("name").join(own, "name").unionByName(said.select("name", F.when(F.col("is_abstract"), F.concat(F.lit("Imported"), "type")).otherwise(F.col("type")).alias("type"))).distinct()
 
 

@@ -1,4 +1,5 @@
-"""Lookups over a blueprint and its collections. Tables are small catalogue tables; every lookup is a filter or join on them.
+"""Lookups over a blueprint and its collections. Tables are small catalogue tables, each made once and kept in the shared
+folder; every lookup is a filter or join on them.
 
 Methods that name one thing return Python values; those whose name ends in _rows return DataFrames for many at once.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions.names import snake_case
-from ontoloom.operators.graph import closure, concrete_descendants
+from ontoloom.operators.graph import closure, concrete_descendants, settled
 from ontoloom.plans import blueprint as B
 from ontoloom.plans import collections as C
 
@@ -31,26 +32,26 @@ class Registry:
 
     @cached_property
     def collections(self) -> DataFrame:
-        return C.collections(self.bp.classes, self.bp.individuals)
+        return settled(C.collections(self.bp.classes, self.bp.individuals))[0]
 
     @cached_property
     def scalars(self) -> DataFrame:
         bp = self.bp
         data = bp.properties.where("kind = 'DataProperty'").select(F.col("name").alias("property"))
-        own = C.fields(self.collections, bp.edges, bp.domains.join(data, "property", "left_semi"), bp.ranges, bp.restrictions)
-        return C.all_fields(self.collections, own)
+        own = C.fields(self.collections, bp.edges, bp.domains.join(data, "property", "left_semi"), bp.ranges, bp.restrictions, self.up)
+        return settled(C.all_fields(self.collections, own))[0]
 
     @cached_property
     def references(self) -> DataFrame:
         bp = self.bp
         objects = bp.properties.where("kind = 'ObjectProperty'").select(F.col("name").alias("property"))
         domains, ranges = (t.join(objects, "property", "left_semi") for t in (bp.domains, bp.ranges))
-        forward = C.references(self.collections, bp.edges, domains, ranges, bp.restrictions, bp.functional, C.explicit_policies(bp.annotations))
-        return C.all_references(forward, C.reverse_references(self.collections, bp.edges, domains, bp.restrictions))
+        forward = C.references(self.collections, bp.edges, domains, ranges, bp.restrictions, bp.functional, C.explicit_policies(bp.annotations), self.up)
+        return settled(C.all_references(forward, C.reverse_references(self.collections, bp.edges, domains, bp.restrictions, self.up)))[0]
 
     @cached_property
     def targets(self) -> DataFrame:
-        return C.target_collections(self.references, self.collections, self.bp.classes, self.bp.edges)
+        return settled(C.target_collections(self.references, self.collections, self.bp.classes, self.bp.edges))[0]
 
     @cached_property
     def constraints(self) -> DataFrame:
@@ -168,7 +169,7 @@ class Registry:
         null = lambda t: F.lit(None).cast(t)
         plain = self.scalars.select("class", "field", "property", F.lit("scalar").alias("kind"), "bson_type", F.lit(False).alias("is_array"), "required", null("int").alias("min_items"), null("int").alias("max_items"), null("string").alias("on_delete"))
         linked = self.references.select("class", "field", "property", F.lit("reference").alias("kind"), F.when(F.col("is_array"), "array").otherwise("objectId").alias("bson_type"), "is_array", (F.coalesce("min_items", F.lit(0)) > 0).alias("required"), F.col("min_items").cast("int"), F.col("max_items").cast("int"), "on_delete")
-        return plain.unionByName(linked).join(self.collections.select("class", "collection"), "class")
+        return settled(plain.unionByName(linked).join(self.collections.select("class", "collection"), "class"))[0]
 
     def get_required_fields(self, collection: str) -> list[str]:
         return self._list(self._where(self.field_rows, collection=collection, required=True), "field")
@@ -214,7 +215,7 @@ class Registry:
     def target_rows(self) -> DataFrame:
         """(source, field, position, target, collection) for each source collection."""
         own = self.collections.select("class", F.col("collection").alias("source"))
-        return self.targets.join(own, "class").groupBy("source", "field", "target", "collection").agg(F.min("position").alias("position"))
+        return settled(self.targets.join(own, "class").groupBy("source", "field", "target", "collection").agg(F.min("position").alias("position")))[0]
 
     def get_target_classes(self, collection: str, field: str) -> list[str]:
         return self._list(self._where(self.target_rows, source=collection, field=field), "target", "position", "target")

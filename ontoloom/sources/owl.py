@@ -82,7 +82,7 @@ def namespaces(tree: DataFrame) -> DataFrame:
 def header_annotations(tree: DataFrame) -> DataFrame:
     """(path, property, value, lang, datatype, value_type) of the ontologies themselves."""
     root = tree.where("local = 'Ontology'").select("path", F.col("node_id").alias("_o"))
-    xml = children(tree, "Annotation", 2).join(root, (F.col("p.parent_id") == F.col("_o")) & (root["path"] == F.col("p.path")), "left_semi")
+    xml = children(tree, "Annotation", 2).withColumn("_o", F.col("p.parent_id")).join(root, ["path", "_o"], "left_semi")
     xml = xml.select("path", _ref("c0").alias("property"), F.coalesce("c1.text", _ref("c1")).alias("value"), F.col("c1.attrs")["lang"].alias("lang"), F.col("c1.attrs")["datatypeIRI"].alias("datatype"), F.when(F.col("c1.local") == "Literal", "literal").otherwise("iri").alias("value_type"))
     rdf = tree.join(root.withColumnRenamed("_o", "parent_id"), ["path", "parent_id"], "left_semi").where(annotation_tag()).select("path", F.col("local").alias("property"), *_rdf_value())
     return xml.unionByName(rdf)
@@ -235,7 +235,7 @@ def assertions(tree: DataFrame) -> DataFrame:
     """
     about = F.coalesce(F.col("attrs")["ID"], F.col("attrs")["about"])
     subjects = tree.where(about.isNotNull() & ~F.col("ns").rlike("(owl|rdf-syntax-ns)#$")).select("path", F.col("node_id").alias("_s"), local_name(about).alias("name"))
-    props = tree.select("path", F.col("parent_id").alias("_s"), F.col("node_id").alias("_p"), F.col("local").alias("property"), "ordinal", "text", F.col("attrs")["resource"].alias("resource"))
+    props = tree.where((F.col("ns") != RDF) & ~annotation_tag()).select("path", F.col("parent_id").alias("_s"), F.col("node_id").alias("_p"), F.col("local").alias("property"), "ordinal", "text", F.col("attrs")["resource"].alias("resource"))
     nested = subjects.select("path", F.col("_s").alias("_n"), F.col("name").alias("nested")).join(tree.select("path", F.col("node_id").alias("_n"), F.col("parent_id").alias("_p")), ["path", "_n"])
     joined = subjects.join(props, ["path", "_s"]).join(nested.drop("_n"), ["path", "_p"], "left")
     target = F.coalesce(local_name(F.col("resource")), F.col("nested"))

@@ -78,10 +78,10 @@ class Store:
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/v={self.state()['collections'][name] if version is None else version}")
 
-    def ensure(self, validators: dict[str, str]) -> None:
-        """Sees to it that the collections exist, and sets their validators."""
+    def ensure(self, validators: dict[str, str], columns: str = "_id string, _ontology_type string") -> None:
+        """Sees to it that the collections exist, new ones with these columns, and sets their validators."""
         have = self.state()["collections"]
-        new = {n: self.spark.createDataFrame([], "_id string, _ontology_type string") for n in validators if n not in have}
+        new = {n: self.spark.createDataFrame([], columns) for n in validators if n not in have}
         self.commit(new, validators=validators)
 
     def drop(self, *names: str) -> None:

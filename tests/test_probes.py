@@ -78,3 +78,12 @@ def test_scalars_and_names(spark):
     assert [r[0] for r in c.select(N.collection_name(F.col("c"))).collect()] == ["sexes", "boxs", "time_serieses", "appearances"]
     assert [r[0] for r in c.select(N.match_collection(F.col("c"), F.array(F.lit("boxes"), F.lit("time_series")))).collect()] == [None, "boxes", "time_series", None]
     assert [r[0] for r in spark.createDataFrame([("has_x_ids",), ("has_x_id",), ("x",)], "f string").select(N.unresolved_field(F.col("f"))).collect()] == ["has_x_unresolved", "has_x_unresolved", "x_unresolved"]
+
+
+def test_paths_and_nested_merges(spark):
+    df = spark.createDataFrame([(1, ("a", ("b",)))], "_id int, m struct<x:string,y:struct<z:string>>")
+    assert D.flatten_paths(df).columns == ["_id", "m.x", "m.y.z"] and [tuple(r) for r in D.flatten_paths(df).collect()] == [(1, "a", "b")]
+    assert D.has_path(df.schema, "m.y.z") and not D.has_path(df.schema, "m.q")
+    assert [r[0] for r in D.set_path(df, "m.y.z", F.lit("c")).select("m.y.z").collect()] == ["c"] and [r[0] for r in D.set_path(df, "n.o", F.lit(1)).select("n.o").collect()] == [1]
+    two = spark.createDataFrame([((1, None), (None, 2))], "low struct<a:int,b:int>, high struct<a:int,b:int>")
+    assert [tuple(r[0]) for r in two.select(D.merge_nested(F.col("low"), F.col("high"), two.schema["low"].dataType)).collect()] == [(1, 2)]
