@@ -86,6 +86,31 @@ def test_near_dedup_against_all_pairs(spark, data):
         assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def variants(n, seed=4):
+    """A text of 150 words and n copies, each with up to 5 words changed: copies with few changes are linked, others with some of these only."""
+    rng = random.Random(seed)
+    base, out = [f"v{rng.randrange(10**6)}" for _ in range(150)], []
+    for k in range(n):
+        t = list(base)
+        for _ in range(rng.randint(1, 5)):
+            t[rng.randrange(150)] = f"c{rng.randrange(10**6)}"
+        out.append((k, " ".join(t), "en", "s", 0, "clash", 1))
+    return out
+
+
+def test_near_dedup_confirms_few_pairs_of_a_large_group(spark, monkeypatch):
+    counts = []
+    real = near_dedup.confirm
+
+    def confirm(pairs, *rest):
+        counts.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirm", confirm)
+    near_dedup.near_duplicates(spark.createDataFrame(variants(600), DOCS).repartition(3))
+    assert sum(counts) < 40 * 600
+
+
 def test_suffix_dedup_against_counting(spark, docs):
     texts, seen = [(r[0], (r[1] or "").encode()) for r in corpus()], {}
     for _, t in texts:
