@@ -4,8 +4,8 @@ Token pieces are described by their lengths alone, and lengths are at most `capa
 histogram: for each bin, a subset-sum bitset over the lengths still available finds the fullest feasible combination,
 which is removed as often as the counts allow. Pieces then take the places of their length in order of their ordinal,
 which comes from counts by (task, length) summed in a window; no group of pieces is gathered.
-Tokenising goes by the distinct white-space-separated chunks of a batch, which the tokenizer never merges, with a cache
-bounded in bytes.
+Tokenising goes by the distinct white-space-separated chunks of a slice of about 1 MB, which the tokenizer never merges,
+with a cache bounded in bytes; ids are put together in blocks of chunks, so that a worker holds little besides them.
 
 Cases: null text counts as empty (one closing token); repeated rows are packed as separate documents, null ids too; an empty
 table gives an empty result; long texts are cut into pieces of the capacity; pieces of one length tie and take their places
@@ -31,6 +31,8 @@ from ontoloom.llm.textbatch import slices
 CAPACITY = 2048
 #: Bytes of chunks and ids that a worker keeps; longer chunks than CHUNK are not kept.
 CACHE, CHUNK = 24 << 20, 64
+#: New chunks tokenised at once, and chunks whose ids are put together at once: these bound the memory besides the texts and ids.
+GROUP, BLOCK = 1024, 1 << 15
 #: Bits that tell whether a chunk was met before: only those met again are kept.
 MET = 1 << 22
 #: A full stop or comma after a letter at the end of a chunk is a token of its own.
@@ -85,27 +87,30 @@ class Chunks:
         self.words, self.size = pa.array([], pa.large_string()), np.zeros(0, np.int64)
         self.ids, self.met[:] = np.zeros(0, np.uint32), False
 
-    def tokens(self, words: pa.Array) -> list[list[int]]:
-        """The ids of each word."""
-        plain = pc.match_substring_regex(words, "^[a-z]+$").to_pylist()  # nothing splits or changes these before the model
-        tokenize, out = self.tokenizer.model.tokenize, words.to_pylist()
-        rest = [w for w, p in zip(out, plain, strict=True) if not p]
-        coded = iter([e.ids for k in range(0, len(rest), 4096) for e in self.tokenizer.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)])
-        return [[t.id for t in tokenize(w)] if p else next(coded) for w, p in zip(out, plain, strict=True)]
+    def tokens(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(many, ids, mark) of words: how many ids each has, the ids one after another, and its bit among met. Python objects live for one group of words only."""
+        tokenize, many, ids, mark = self.tokenizer.model.tokenize, np.zeros(len(words), np.int64), [], np.zeros(len(words), np.int64)
+        for k in range(0, len(words), GROUP):
+            group = words.slice(k, GROUP)
+            plain = pc.match_substring_regex(group, "^[a-z]+$").to_pylist()  # nothing splits or changes these before the model
+            out = group.to_pylist()
+            coded = iter([e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(out, plain, strict=True) if not p], add_special_tokens=False)])
+            found = [[t.id for t in tokenize(w)] if p else next(coded) for w, p in zip(out, plain, strict=True)]
+            many[k : k + len(out)] = [len(x) for x in found]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, many[k : k + len(out)].sum()))
+            mark[k : k + len(out)] = [hash(w) & (MET - 1) for w in out]
+        return many, np.concatenate([*ids, np.zeros(0, np.uint32)]), mark
 
     def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, size, ids): the ids of distinct word k are ids[first[k] : first[k] + size[k]]."""
+        """(first, size, ids): the ids of distinct word k are ids[first[k] : first[k] + size[k]]; one 0 follows them all."""
         at = pc.index_in(words, value_set=self.words)
         new = words.filter(at.is_null())
-        found = self.tokens(new)
-        many = np.fromiter(map(len, found), np.int64, len(found))
-        fresh = np.fromiter(chain.from_iterable(found), np.uint32, many.sum())
-        ids = np.concatenate([self.ids, fresh])
+        many, fresh, marks = self.tokens(new)
+        ids = np.concatenate([self.ids, fresh, np.zeros(1, np.uint32)])
         place = np.asarray(at.fill_null(0)).astype(np.int64)
         place[np.asarray(at.is_null())] = len(self.words) + np.arange(len(new))
         size = np.concatenate([self.size, many])
         first = np.cumsum(size) - size
-        marks = np.fromiter(map(hash, new.to_pylist()), np.int64, len(new)) & (MET - 1)
         again = self.met[marks] & (np.asarray(pc.binary_length(new)) <= CHUNK)
         self.met[marks] = True
         self.words = pa.concat_arrays([self.words, new.filter(pa.array(again))])
@@ -118,25 +123,32 @@ class Chunks:
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): the ids of text k and the closing 0 are ids[at[k]:at[k + 1]]."""
         # The lower case of these two depends on more than themselves, and special tokens are looked for before lower-casing.
-        folded = [t if "\u0130" in t or "\u03a3" in t or "<|" in t else t.lower() for t in texts]
-        spaced = pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in folded], pa.large_string())
-        split = pc.split_pattern(spaced, " ")
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary
+        texts = [(t if "\u0130" in t or "\u03a3" in t or "<|" in t else t.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        del texts
+        ends, coded = np.asarray(split.offsets)[1:], split.flatten().dictionary_encode()
+        del split
+        words, code = coded.dictionary, np.asarray(coded.indices)
         stop = pc.match_substring_regex(words, STOP)
         stems = pc.if_else(stop, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
         first, size, ids = self.learn(stems.dictionary)
         stem, stop = np.asarray(stems.indices), np.asarray(stop)
         first, size = first[stem], size[stem] + stop
         last = np.where(np.asarray(pc.ends_with(words, ".")), self.dot, self.comma)
-        code = np.asarray(coded.indices)
-        each = size[code]
-        done = np.concatenate([[0], np.cumsum(each)])
-        flat = np.append(ids, np.uint32(0)).take(np.repeat(first[code] - done[:-1], each) + np.arange(done[-1]), mode="clip")
-        closing = stop[code]
-        flat[done[1:][closing] - 1] = last[code[closing]]
-        ends = done[np.asarray(split.offsets)[1:]]
-        return np.insert(flat, ends, 0), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+        out, at, done = np.zeros(np.bincount(code, minlength=len(size)) @ size + len(ends), np.uint32), [np.zeros(1, np.int64)], 0
+        for k in range(0, len(code), BLOCK):
+            part = code[k : k + BLOCK]
+            each = size[part]
+            to = np.concatenate([[0], np.cumsum(each)])
+            flat = ids.take(np.repeat(first[part] - to[:-1], each) + np.arange(to[-1]), mode="clip")
+            closing = stop[part]
+            flat[to[1:][closing] - 1] = last[part[closing]]
+            over = to[ends[np.searchsorted(ends, k, "right") : np.searchsorted(ends, k + BLOCK, "right")] - k]  # each text has a chunk at least
+            flat = np.insert(flat, over, 0)
+            out[done : done + len(flat)] = flat
+            at.append(done + over + np.arange(1, len(over) + 1))
+            done += len(flat)
+        return out, np.concatenate(at)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -152,7 +164,7 @@ def pieces(df, id_col, text_col, tokenizer, capacity):
         if tokenizer not in _CHUNKS:
             _CHUNKS[tokenizer] = Chunks(tokenizer)
         chunks, task, seen = _CHUNKS[tokenizer], TaskContext.get().partitionId(), defaultdict(int)
-        for b in (x for whole in batches for x in slices(whole, 1, 4096, 4 << 20)):
+        for b in (x for whole in batches for x in slices(whole, 1, 4096, 1 << 20)):
             rows, at = [], []
             every, ends = chunks.encode_all([t or "" for t in b.column(1).to_pylist()])
             for k, ids in enumerate(np.split(every, ends[1:-1])):

@@ -304,6 +304,31 @@ def test_packing_of_texts_that_are_not_folded_at_once():
         assert chunks.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_packing_takes_ids_in_blocks(monkeypatch):
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, chunks = Tokenizer.from_file(path), packing.Chunks(path)
+    texts = [f"Lorem ipsum, dolor {k % 97} sit amet. " * 50 for k in range(1500)]
+    tracemalloc.start()
+    ids, at = chunks.encode_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(map(len, texts))  # 10.5 times where all ids are put together at once
+    assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+    monkeypatch.setattr(packing, "GROUP", 2)
+    for block in (1, 2, 3, 5):  # texts that end in, at and beyond the edges of blocks
+        monkeypatch.setattr(packing, "BLOCK", block)
+        some = ["", "a b", "One two. three, four", "", "x.", " ", "five  six\nseven.", "e"]
+        ids, at = packing.Chunks(path).encode_all(some)
+        want = [t.encode(x, add_special_tokens=False).ids + [0] for x in some]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert [x.tolist() for x in chunks.encode_all([])] == [[], [0]]
+
+
 def test_url_filter_against_all_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/en/12?x", "https://a.example.org/es/x", "http://org/", "http://org", "http://b.com/fr/#z", "http://b.com/de/", "http://m.free-bets.example.com/x", "x://notexample.org/en/1", "http://xorg/"]
     urls += ["http://a b.org/", "http://a\nb.org/x", "http://.org/", "http://x.net/CASINO/1", "http://casinos2.net/", "http://casino.org/", "http://example.org/EN/1", "http://org/" + "a" * 100_000, "http://é.com/fr/", "http://Example.ORG/en/12?x"]
