@@ -180,6 +180,32 @@ def test_suffixes_of_odd_tables(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(n for _, n in want) > 4000
 
 
+@small
+def test_suffix_query(spark, tmp_path):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(6)) for _ in range(n))
+    short, long = prose(51).replace("é", "e"), prose(58).replace("é", "e")  # both over 50 words; 356 and 405 bytes
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    texts |= {-k: f"{prose(20 * k)} {long if k > 3 else short} {prose(150 // k)}" for k in range(1, 7)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    raw, seen = {i: (t or "").encode() for i, t in texts.items()}, {}
+    for t in raw.values():
+        for k in range(len(t) - 399):
+            h = hash(t[k : k + 400])
+            seen[h] = seen.get(h, 0) + 1
+    want = {}
+    for i, t in raw.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        want[i] = (len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
+    got = queries.QUERIES["op2_suffix_dedup"](spark, str(tmp_path))
+    assert {r[0]: tuple(r)[1:] for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()} == want and got.count() == len(texts)
+    # A passage of over 50 words goes where it has 400 bytes, and only there; n_bytes is the whole text's length in either case.
+    assert [want[-k][1] for k in range(1, 4)] == [0] * 3 and all(want[-k][1] >= 405 and want[-k][2] == 1 for k in range(4, 7))
+
+
 def test_order_of_ties_against_plain_sorting():
     rng = random.Random(3)
     for _ in range(30):
